@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, exact_dedup, line_dedup, packing, sharding
+from kinweave.llm import bpe, exact_dedup, fingerprints, line_dedup, packing, sharding, token_counts
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_packing": packing.op5_packing,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
