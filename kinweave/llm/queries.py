@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, exact_dedup, fingerprints, line_dedup, packing, sharding, token_counts
+from kinweave.llm import bpe, exact_dedup, fingerprints, language, line_dedup, packing, quality, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_bpe": bpe.op2_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_quality": quality.op9_quality,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
