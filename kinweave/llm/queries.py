@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, exact_dedup, fingerprints, language, line_dedup, packing, quality, sharding, token_counts
+from kinweave.llm import bpe, exact_dedup, fingerprints, language, line_dedup, near_dedup, packing, quality, sharding, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_quality": quality.op9_quality,
