@@ -89,6 +89,16 @@ def exact_groups(docs: DataFrame, bits: int = 64, id_col: str = "doc_id", text_c
     return joined.select(own.alias(id_col), keep.alias("keep_id"), F.coalesce("g.group_size", F.lit(1)).alias("group_size"), own.eqNullSafe(keep).alias("kept"), F.col("r.text_sha256").alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, as they are, without those whose text another row with a smaller id has; of rows that repeat id and text one stays."""
+    row = F.struct(F.col(id_col), F.xxhash64(text_col).alias("hash"))
+    verdict = _common.materialize(exact_groups(docs.select(row.alias("__row__"), text_col), id_col="__row__", text_col=text_col), "verdict")
+    dropped = verdict.where("NOT kept").select("__row__")
+    left = docs.withColumn("__row__", row).join(dropped, "__row__", "left_anti").drop("__row__")
+    repeated = verdict.where("kept").groupBy("__row__").agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_common.documents(spark, sf_dir))
 

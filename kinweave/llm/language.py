@@ -157,6 +157,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema).toDF(*columns, "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose language is told with at least this score. Without any language known: those with letters."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if sent.value.languages:
+                keep = [name != UNDETERMINED and score >= least_score for name, score in zip(*sent.value.score(texts))]
+            else:
+                keep = [bool(t and LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.documents(spark, sf_dir)
     scored = predict(docs, train(training_sample(docs)))

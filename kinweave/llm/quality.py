@@ -199,6 +199,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema).toDF(*columns, "score")
 
 
+def keep_good(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, that score at least so much."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                yield part.filter(pa.array(sent.value.score(part.column(at).to_pylist()) >= least_score))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.documents(spark, sf_dir)
     model = train(training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
