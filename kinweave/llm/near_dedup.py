@@ -12,8 +12,8 @@ pair is missed by all twelve with probability 6e-6; candidates are all confirmed
 
 Large groups never become all pairs. Round one compares each bucket's members with its smallest id only,
 and links found make components. Round two takes up buckets that still hold several components: members of
-different components are compared by their signatures, block against block of bounded size, and only pairs
-near enough and not of one component are confirmed. What both rounds leave out is of one component already.
+different components are compared by their signatures and by finer sketches, block against block of bounded size, and
+only pairs near enough and not of one component are confirmed. What both rounds leave out is of one component already.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are alone;
 fewer than five words are one shingle; rows that repeat an id share its component; an empty table gives
@@ -47,6 +47,11 @@ BLOCK = 512
 FILTER_LOG2 = 23
 MEMO_LIMIT = 500_000
 
+#: Bins of the fine sketch, a byte each: the least shingle of each bin.
+BINS_LOG2 = 9
+#: Standard errors by which a sketch may understate a link's similarity; beyond them with probability under 1e-8.
+SIGMAS = 6.0
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, (COMPONENTS, 1), dtype=np.uint32)
@@ -95,28 +100,56 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
 
 
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A byte for each bin of the hash range: 0 if empty, else one of 1 to 255 that stands for its least shingle."""
+    bins = (shingles >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(1 << BINS_LOG2, np.uint8)
+    out[bins[first]] = shingles[first] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_be_linked(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size_other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of sketches, with the sizes of their sets, can reach the similarity.
+
+    The share of equal bins among those that either set fills is an unbiased estimate, whose variance counts
+    that a union of f shingles is drawn without replacement (one-permutation hashing)."""
+    least = percent / 100
+    sizes = 100 * np.minimum(size_one, size_other) >= percent * np.maximum(size_one, size_other)
+    filled = np.maximum(((one | other) > 0).sum(1), 1)
+    equal = ((one == other) & (one > 0)).sum(1)
+    union = np.maximum((size_one + size_other) / (1 + least), 2.0)
+    variance = least * (1 - least) * np.maximum((1 + 1 / (union - 1)) / filled - 1 / (union - 1), 0.0)
+    return sizes & (equal / filled >= least - SIGMAS * np.sqrt(variance) - 1 / filled)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, k1, k2, sig) of each row; k1 and k2 digest the set."""
+    """(id, n_shingles, k1, k2, sig, fine) of each row; k1 and k2 digest the set."""
     field = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, fine = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py())
                 n.append(len(s))
                 k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 k2.append(int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n_shingles", "k1", "k2", "sig"])
+                fine.append(fine_sketch(s).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())], ["id", "n_shingles", "k1", "k2", "sig", "fine"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {field}, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {field}, n_shingles bigint, k1 bigint, k2 bigint, sig binary, fine binary")
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COMPONENTS)
 
 
+def _as_sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 1 << BINS_LOG2)
+
+
 def index_keys(classes: DataFrame) -> DataFrame:
     """(key, cls): CHUNKS * PER_CHUNK rows of each class, one for each chunk and component left out."""
 
@@ -198,8 +231,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, id_col:
     return pairs.join(others, "b").join(centres, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of buckets' members that lie in different components and whose signatures are near enough.
+def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of buckets' members that lie in different components and whose signatures and sketches are near enough.
 
     shared: (key, cls, centre, n). The centre was compared with all in round one."""
     rows = shared.where("n > 2").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "centre", "n", F.coalesce("component", "cls").alias("component"))
@@ -215,7 +248,7 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame)
         .withColumn("own", own)
         .select("key", "cls", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
-        .join(classes.select("cls", "sig"), "cls")
+        .join(classes.select("cls", "sig", "fine", "n_shingles"), "cls")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
@@ -223,7 +256,7 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            table = [np.asarray(batch.column(i)) for i in range(6)] + [_as_signatures(batch.column(6))]
+            table = [np.asarray(batch.column(i)) for i in range(6)] + [_as_signatures(batch.column(6)), _as_sketches(batch.column(7)), np.asarray(batch.column(8))]
             group = np.stack(table[:3], 1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
             bounds = [0, *cuts, len(group)]
@@ -237,7 +270,7 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame)
             yield from met(held)
 
     def met(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, i, j, own, cls, component, sig = (np.concatenate(c) if len(parts) > 1 else c[0] for c in zip(*parts))
+        _, i, j, own, cls, component, sig, fine, size = (np.concatenate(c) if len(parts) > 1 else c[0] for c in zip(*parts))
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own == j)
         out_a, out_b = [], []
@@ -247,13 +280,15 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame)
             x, y = np.nonzero(ok)
             x, y = some[x], right[y]
             near = (sig[x] != sig[y]).sum(1) <= FAR
+            x, y = x[near], y[near]
+            near = may_be_linked(fine[x], fine[y], size[x], size[y], percent)
             out_a.append(np.minimum(cls[x], cls[y])[near])
             out_b.append(np.maximum(cls[x], cls[y])[near])
         pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.empty((0, 2), np.int64)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.select("key", "i", "j", "own", "cls", "component", "sig").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 @dataclass(frozen=True)
@@ -269,10 +304,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col))
     marks = _common.materialize(signatures(docs, id_col, text_col), "signatures")
     sized = marks.where("n_shingles > 0")
-    classes = sized.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("cls"), F.any_value("sig").alias("sig"))
+    classes = sized.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("cls"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine"))
     classes = _common.materialize(classes, "classes")
     # sets of one or two shingles are linked with equal sets only
-    indexed = classes.where("n_shingles > 2 AND cls IS NOT NULL").select("cls", "sig")
+    indexed = classes.where("n_shingles > 2 AND cls IS NOT NULL").select("cls", "sig", "fine", "n_shingles")
     keys = index_keys(indexed)
     buckets = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
     shared = _common.materialize(keys.join(buckets, "key").select("key", "cls", "centre", "n"), "shared")
@@ -280,7 +315,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     first = _common.materialize(near_pairs(stars, indexed), "pairs")
     links = _common.materialize(confirmed(docs, first, percent, id_col, text_col), "links")
     labels = components(links)
-    second = across_components(shared, labels, indexed).join(first, ["a", "b"], "left_anti")
+    second = across_components(shared, labels, indexed, percent).join(first, ["a", "b"], "left_anti")
     second = _common.materialize(second, "pairs")
     if not second.isEmpty():
         more = _common.materialize(confirmed(docs, second, percent, id_col, text_col), "links")
