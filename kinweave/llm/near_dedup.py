@@ -56,6 +56,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, (COMPONENTS, 1), dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, (COMPONENTS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OTHERS = np.array([[c for c in range(PER_CHUNK) if c != out] for out in range(PER_CHUNK)])
 _SALT = _RNG.integers(0, 1 << 63, CHUNKS * PER_CHUNK, dtype=np.uint64)
 
 
@@ -150,6 +151,22 @@ def _as_sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 1 << BINS_LOG2)
 
 
+def chunk_keys(sig: np.ndarray, chunk: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """For each row of signatures the key of its given chunk without the given component."""
+    parts = np.take_along_axis(sig.reshape(-1, CHUNKS, PER_CHUNK)[np.arange(len(sig)), chunk], _OTHERS[left_out], 1)
+    packed = (parts.astype(np.uint64) << (np.uint64(16) * np.arange(PER_CHUNK - ERRORS, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    return _mix(packed ^ _SALT[chunk * PER_CHUNK + left_out])
+
+
+def first_shared_key(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of signatures the first key that both have, and whether there is one; each pair is taken up in that bucket alone."""
+    equal = (one == other).reshape(-1, CHUNKS, PER_CHUNK)
+    agree = equal.sum(2) >= PER_CHUNK - ERRORS
+    chunk = agree.argmax(1)
+    left_out = (~equal[np.arange(len(equal)), chunk]).argmax(1)
+    return chunk_keys(one, chunk, left_out), agree.any(1)
+
+
 def index_keys(classes: DataFrame) -> DataFrame:
     """(key, cls): CHUNKS * PER_CHUNK rows of each class, one for each chunk and component left out."""
 
@@ -157,13 +174,9 @@ def index_keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                sig = _as_signatures(part.column(1)).astype(np.uint64).reshape(-1, CHUNKS, PER_CHUNK)
-                keys = np.empty((len(sig), CHUNKS * PER_CHUNK), np.uint64)
-                for out in range(PER_CHUNK):
-                    rest = [i for i in range(PER_CHUNK) if i != out]
-                    packed = sum(sig[:, :, c] << np.uint64(16 * i) for i, c in enumerate(rest))
-                    keys[:, out::PER_CHUNK] = packed
-                keys = _mix(keys ^ _SALT)
+                sig = _as_signatures(part.column(1))
+                rows, at = np.repeat(np.arange(len(sig)), CHUNKS * PER_CHUNK), np.tile(np.arange(CHUNKS * PER_CHUNK), len(sig))
+                keys = chunk_keys(sig[rows], at // PER_CHUNK, at % PER_CHUNK).reshape(len(sig), -1)
                 cls = np.repeat(np.asarray(part.column(0)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(cls)], ["key", "cls"])
 
@@ -234,7 +247,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, id_col:
 def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of buckets' members that lie in different components and whose signatures and sketches are near enough.
 
-    shared: (key, cls, centre, n). The centre was compared with all in round one."""
+    shared: (key, cls, centre, n). The centre was compared with all in round one. A pair that shares several buckets is made
+    in the first of them only; if one of the two is that bucket's centre, round one has compared them."""
     rows = shared.where("n > 2").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "centre", "n", F.coalesce("component", "cls").alias("component"))
     rows = _common.materialize(rows, "labelled")
     several = rows.where("cls <> centre").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -270,7 +284,7 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
             yield from met(held)
 
     def met(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, i, j, own, cls, component, sig, fine, size = (np.concatenate(c) if len(parts) > 1 else c[0] for c in zip(*parts))
+        key, i, j, own, cls, component, sig, fine, size = (np.concatenate(c) if len(parts) > 1 else c[0] for c in zip(*parts))
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own == j)
         out_a, out_b = [], []
@@ -279,6 +293,9 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
             ok = (component[some][:, None] != component[right][None, :]) & (cls[some][:, None] != cls[right][None, :])
             x, y = np.nonzero(ok)
             x, y = some[x], right[y]
+            shared_key, shares = first_shared_key(sig[x], sig[y])
+            here = shares & (shared_key.astype(np.int64) == key[0])
+            x, y = x[here], y[here]
             near = (sig[x] != sig[y]).sum(1) <= FAR
             x, y = x[near], y[near]
             near = may_be_linked(fine[x], fine[y], size[x], size[y], percent)
@@ -288,7 +305,7 @@ def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(run, "a bigint, b bigint")
 
 
 @dataclass(frozen=True)
