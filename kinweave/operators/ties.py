@@ -63,3 +63,27 @@ def project(affiliations: DataFrame, least_shared: int = 1) -> DataFrame:
 def symmetrised(ties: DataFrame) -> DataFrame:
     """(u, v) of each tied pair, both ways, once."""
     return ties.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(ties.select(F.col("dst").alias("u"), F.col("src").alias("v"))).where("u <> v").distinct()
+
+
+#: Roles of a target that name a rule of their own; those of a broadcast are left out but for replies.
+ADDRESSED_ROLES, MOST_TARGETS = ("reply", "mention", "dm", "to", "cc", "bcc"), 25
+
+
+def addressed_evidence(messages: DataFrame, targets: DataFrame, most: int = MOST_TARGETS) -> DataFrame:
+    """(src, dst, rule, t) of messages (event_id, t, actor, parent) and their targets (event_id, person, role).
+
+    A (rule, target) counts once in a message. With more than ``most`` distinct addressees only replies count. A message
+    with a parent and no reply target replies to the parent's actor. Ties to oneself are left out."""
+    listed = targets.where(F.col("role").isin(*ADDRESSED_ROLES)).select("event_id", "person", "role").distinct()
+    sized = listed.groupBy("event_id").agg(F.count_distinct(F.when(F.col("role") != "reply", F.col("person"))).alias("size"), F.max((F.col("role") == "reply").cast("int")).alias("replies"))
+    sent = messages.where("actor IS NOT NULL").join(sized, "event_id", "left")
+    named = listed.join(sent.select("event_id", "t", "actor", "size"), "event_id").where((F.col("role") == "reply") | (F.col("size") <= most))
+    named = named.select(F.col("actor").alias("src"), F.col("person").alias("dst"), F.col("role").alias("rule"), "t")
+    parents = messages.select(F.col("event_id").alias("parent"), F.col("actor").alias("dst"))
+    fallback = sent.where("parent IS NOT NULL AND coalesce(replies, 0) = 0").join(parents, "parent").select(F.col("actor").alias("src"), "dst", F.lit("reply").alias("rule"), "t")
+    return named.unionByName(fallback).where("dst IS NOT NULL AND src <> dst")
+
+
+def weighted(ties: DataFrame, how: str = "count") -> DataFrame:
+    """Ties with w as it is (count), its log(1 + w) (log) or 1 (binary)."""
+    return ties.withColumn("w", {"count": F.col("w"), "log": F.log1p("w"), "binary": F.lit(1.0)}[how])

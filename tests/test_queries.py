@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ["nation", "customer", "supplier", "orders", "lineitem", "events"]:
+    for name in ["region", "nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "labels", "conversations"]:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -48,3 +48,35 @@ def test_adjacency_cases(spark):
     assert turns(spark, [("a", 0, False), ("b", 10, False), ("a", 20 + 1 / 60000, False)]) == [("b", "a")]
     assert turns(spark, [("a", 0, False), ("b", 1, True), ("c", 2, False)]) == [("c", "b")]
     assert turns(spark, [("a", None, False), ("b", 1, False), (None, 2, False)]) == []
+
+
+def test_addressed_cases(spark):
+    sent = [(1, None, "a", 9), (2, None, "d", 9), (3, None, "c", 9), (4, None, "e", None), (5, None, "a", None), (9, None, "c", None)]
+    messages = spark.createDataFrame(sent, "event_id bigint, t timestamp_ntz, actor string, parent bigint")
+    listed = [(1, "b", "reply"), (4, "b", "reply"), *[(4, f"p{i}", "to") for i in range(26)], (5, "b", "to"), (5, "b", "to"), (5, "b", "mention"), (5, "a", "to"), (5, None, "cc")]
+    targets = spark.createDataFrame(listed, "event_id bigint, person string, role string")
+    got = sorted((r.src, r.dst, r.rule) for r in ties.addressed_evidence(messages, targets).collect())
+    assert got == [("a", "b", "mention"), ("a", "b", "reply"), ("a", "b", "to"), ("d", "c", "reply"), ("e", "b", "reply")]
+
+
+def test_shift_of_a_step(spark):
+    from kinweave.operators import series
+
+    start = dt.date(2024, 1, 1)
+    rows = [("s", start + dt.timedelta(days=i), 100 + i % 2 if i < 12 else 200) for i in range(16)]
+    got = series.shifts(spark.createDataFrame(rows, "series string, win date, events bigint")).orderBy("win").collect()
+    assert [(r.win - start).days for r in got if r.flagged] == [12, 13]
+    assert [(r.win - start).days for r in got if r.z is None] == [1, 2, 3]
+
+
+def test_structure_of_empty_tables(spark):
+    from kinweave.operators import content, structure
+
+    none = spark.createDataFrame([], "src bigint, dst bigint, w double, n bigint")
+    groups = spark.createDataFrame([], "node bigint, grp bigint")
+    assert structure.centralization(none).collect()[0][0] is None
+    assert structure.degree_assortativity(none).collect()[0][0] is None
+    assert structure.modularity(none, groups).collect()[0][0] is None
+    assert structure.group_assortativity(none, groups).collect()[0][0] is None
+    assert structure.brokerage(none).count() == structure.group_ties(none, groups).count() == 0
+    assert content.keywords(spark.createDataFrame([], "unit string, text string")).count() == 0
