@@ -13,8 +13,6 @@ from kinweave.llm import _common, exact_dedup, language, near_dedup, packing, qu
 
 #: A language told with less than this is no language told; an even guess among four would be 0.25.
 LEAST_LANGUAGE_SCORE = 0.35
-#: Only clearly bad documents go; 0.5 would take some short clean ones.
-LEAST_QUALITY_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, quality.train(quality.training_sample(docs, labels)), LEAST_QUALITY_SCORE)
+    return quality.keep_good(docs, quality.train(quality.training_sample(docs, labels)), quality.LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
