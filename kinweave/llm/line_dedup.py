@@ -1,6 +1,6 @@
 """Operator 3 [native]: removal of lines that many sites share, by distinct-site spread.
 
-A line (trimmed) of at least ``min_chars`` characters is boilerplate if it stands in documents
+A line (trimmed) of at least ``min_chars`` characters, by default any that is not blank, is boilerplate if it stands in documents
 of at least ``min_sites`` distinct sources. Sites are counted by HyperLogLog sketches per line
 hash, merged by partial and final aggregation; hot lines are thus one small sketch per
 task. Lines whose estimate is near the threshold (within the sketch's error bounds) get exact
@@ -14,24 +14,30 @@ cleaned each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import _common
 
-MIN_SITES, MIN_CHARS, LG_K = 6, 16, 10
+#: MIN_CHARS is the least length of a line in OP3_SQL only; the operator counts every line that is not blank (LEAST_CHARS).
+MIN_SITES, MIN_CHARS, LEAST_CHARS, LG_K = 6, 16, 1, 10
 #: Estimates closer to the threshold than this many standard errors (and 1.5 sites) are counted exactly.
 SIGMAS = 6
 
 
+def counts(line: Column, min_chars: int) -> Column:
+    """Whether a line is long enough and has more than white space."""
+    return (F.length(F.trim(line)) >= min_chars) & line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def lines(docs: DataFrame, min_chars: int, site_col: str, text_col: str) -> DataFrame:
     """(site, line_hash) of each line that is long enough."""
     line = F.trim(F.col("line"))
     split = docs.select(F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.explode(F.split(text_col, "\n")).alias("line"))
-    return split.where(F.length(line) >= min_chars).select("site", F.xxhash64(line).alias("line_hash"))
+    return split.where(counts(F.col("line"), min_chars)).select("site", F.xxhash64(line).alias("line_hash"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = LEAST_CHARS, lg_k: int = LG_K, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """(line_hash) of the lines on at least min_sites sites."""
     seen = lines(docs, min_chars, site_col, text_col)
     spread = seen.groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
@@ -44,15 +50,15 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line_hash"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = LEAST_CHARS, lg_k: int = LG_K, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, clean_text, n_lines, n_removed). Verdicts meet hashes, not texts; each text moves once at most."""
     common = _common.materialize(boilerplate(docs, min_sites, min_chars, lg_k, site_col, text_col), "boilerplate")
     hashed = docs.select(F.struct(id_col, F.xxhash64(text_col).alias("text_hash")).alias("row"), F.explode(F.split(text_col, "\n")).alias("line"))
-    long = hashed.where(F.length(F.trim("line")) >= min_chars).select("row", F.xxhash64(F.trim("line")).alias("line_hash"))
+    long = hashed.where(counts(F.col("line"), min_chars)).select("row", F.xxhash64(F.trim("line")).alias("line_hash"))
     found = long.join(common, "line_hash").groupBy("row").agg(F.collect_set("line_hash").alias("removed"))
     split = F.split(text_col, "\n")
     rows = docs.select(F.struct(id_col, F.xxhash64(text_col).alias("text_hash")).alias("row"), F.col(text_col)).join(found, "row", "left")
-    keep = F.filter(split, lambda x: ~((F.length(F.trim(x)) >= min_chars) & F.array_contains(F.coalesce("removed", F.array().cast("array<bigint>")), F.xxhash64(F.trim(x)))))
+    keep = F.filter(split, lambda x: ~(counts(x, min_chars) & F.array_contains(F.coalesce("removed", F.array().cast("array<bigint>")), F.xxhash64(F.trim(x)))))
     cleaned = rows.select(F.col(f"row.{id_col}").alias(id_col), text_col, "removed", F.when(F.col("removed").isNull(), split).otherwise(keep).alias("kept"))
     return cleaned.select(
         id_col,
