@@ -1,7 +1,8 @@
 """Operator 10 [native]: document fingerprints by Order MinHash.
 
 K-mers are two consecutive units of text, a unit being a word or, within longer words, up to
-12 characters. Each k-mer carries its occurrence number, so repeats count. A k-mer's hash
+12 characters. They start at each word and, within words of more than 12 characters (unspaced scripts, encoded text), at
+each character up to the last 12, so an insertion changes only the k-mers about it. Each k-mer carries its occurrence number, so repeats count. A k-mer's hash
 deals it to one of ``BINS`` bins (one-permutation hashing); in each bin the two
 occurrence-numbered k-mers of smallest hash are selected, kept in text order, and
 hashed as a tuple: moving text about changes the tuples, as it changes the edit
@@ -27,13 +28,15 @@ from kinweave.llm import _common
 
 BINS_LOG2 = 6
 UNIT = r"\S{1,12}"
+#: What a k-mer's start moves on by: a word's last 12 characters or less with the white space after them, else one character.
+STEP = r"(?:\S{1,12}+(?!\S)\s*|\S)"
 #: Bits of a k-mer's hash beside those of its position, 63 in all.
 HASH_BITS, POSITION_BITS = 39, 24
 
 
 def _entries(text: str) -> str:
     """SQL: sorted longs of hash and position for each k-mer. Positions beyond 2^24 are scaled down, order kept."""
-    kmers = rf"regexp_extract_all({text}, r'(?=({UNIT}\s*{UNIT})){UNIT}\s*', 1)"
+    kmers = rf"regexp_extract_all({text}, r'(?=({UNIT}\s*{UNIT})){STEP}', 1)"
     some = f"transform(array({kmers}), k -> if(size(k) = 0, array({text}), k))[0]"
     entry = f"shiftleft(pmod(xxhash64(s), {1 << HASH_BITS}L), {POSITION_BITS}) + if(size(k) <= {1 << POSITION_BITS}, i, cast(floor(i * {float(1 << POSITION_BITS)}D / size(k)) AS int))"
     return f"transform(array({some}), k -> sort_array(transform(k, (s, i) -> {entry})))[0]"
