@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Classifiers are trained, which SQL can't express; the tests hold run() against a brute-force version.
+#: Classifiers are trained, which SQL can't express; the tests hold the quality stage only.
 ORACLE_SQL = None
 
 
