@@ -1,10 +1,14 @@
-"""What the training-data operators share: inputs, shared scratch tables, the labelled split."""
+"""What the training-data operators share: inputs, shared scratch tables, the labelled split, lean Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +22,86 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only one machine's session may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kinweave-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{scratch_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again.
 
     Unlike a local checkpoint the table outlives any executor; unlike checkpoint() it is
     columnar and compressed, and its true size is known to the planner.
     """
-    path = f"{scratch_dir(df.sparkSession)}/kinweave/{label}-{uuid.uuid4().hex}"
+    return stored(df, label, *partition_by)[0]
+
+
+def stored(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]:
+    """As materialize, with the table's path, for discard()."""
+    path = scratch_path(df.sparkSession, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables in the shared folder that no later plan reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 256, memos: Callable[[], list] = list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over Arrow batches that leaves a reused worker as small as it was.
+
+    Batches come in parts of few rows, so copies of their texts are small; after a partition the memos (of
+    pre-tokens, words) are emptied and freed memory goes back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(part for batch in batches for part in _parts(batch, rows))
+        finally:
+            for memo in memos():
+                memo.clear()
+            release()
+
+    return wrapped
+
+
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def release() -> None:
+    """Gives memory that is free, but held by allocators, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps its memory
+        pass
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: str | Column) -> Column:

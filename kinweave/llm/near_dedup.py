@@ -1,7 +1,7 @@
 """Operator 6: MinHash near-dedup by a multi-index Hamming join.
 
 A document's set is that of its five-word shingles, as 64-bit hashes. Documents of equal sets
-(128-bit digest and size) are one class, represented by its smallest id. A class has a
+(128-bit digest and size) are one class, known by a number and named by its smallest id. A class has a
 signature of ``COMPONENTS`` minwise values of 16 bits. The distance of two signatures is the number of
 components that differ; it is split by pigeonhole: in ``CHUNKS`` chunks, two signatures at a distance below
 CHUNKS * (ERRORS + 1) agree in one chunk but for ERRORS components at most. These errors are
@@ -10,18 +10,20 @@ enumerated: each chunk is indexed once for each component left out, so agreement
 At the least similarity a link needs, 0.75, each chunk agrees with probability 0.63, so a linked
 pair is missed by all twelve with probability 6e-6; candidates are all confirmed on full sets.
 
-Large groups never become all pairs. Round one compares each bucket's members with its smallest id only,
-and links found make components. Round two takes up buckets that still hold several components: members of
-different components are compared by their signatures and by finer sketches, block against block of bounded size, and
-only pairs near enough and not of one component are confirmed. What both rounds leave out is of one component already.
+Large groups never become all pairs. Round one compares each bucket's members with one centre only,
+and links found make components. Round two takes up buckets that still hold several components: their members are dealt to
+blocks of bounded size, which meet two by two, and members of different components are decided there, by their signatures and then on full sets.
+Only links that join components go out of a block, at most one for each member. Sets of more than WHOLE shingles go in
+as sketches; of these, pairs near enough are confirmed afterwards. What both rounds leave out is of one component already.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are alone;
-fewer than five words are one shingle; rows that repeat an id share its component; an empty table gives
-an empty result; other columns are ignored.
+fewer than five words are one shingle; rows that repeat an id are each of their own text's component; null ids are
+linked like others and a component of null ids alone has none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,12 +45,14 @@ PERCENT = 75
 FAR = 35
 #: Members of one block in round two.
 BLOCK = 512
-#: Bits, as a power of two, of the filter that says whose sets are needed.
-FILTER_LOG2 = 23
-MEMO_LIMIT = 500_000
+#: Most bits, as a power of two, of the filter that says whose sets are needed (16 MB).
+FILTER_LOG2 = 27
+MEMO_LIMIT = 100_000
 
 #: Bins of the fine sketch, a byte each: the least shingle of each bin.
-BINS_LOG2 = 9
+BINS_LOG2 = 12
+#: Sets of this size at most go into blocks whole, larger ones as sketches; 4 kB either way.
+WHOLE = 512
 #: Standard errors by which a sketch may understate a link's similarity; beyond them with probability under 1e-8.
 SIGMAS = 6.0
 
@@ -71,6 +75,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _memos() -> list[dict]:
+    return [_words]
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -124,33 +132,34 @@ def may_be_linked(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size
     return sizes & (equal / filled >= least - SIGMAS * np.sqrt(variance) - 1 / filled)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, k1, k2, sig, fine) of each row; k1 and k2 digest the set."""
-    field = docs.schema[id_col].dataType.simpleString()
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for the set."""
+    return int(shingles.sum(dtype=np.uint64).astype(np.int64)), int(_mix(shingles + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def fine_form(shingles: np.ndarray) -> bytes:
+    """The set itself, or the sketch of a large one."""
+    return shingles.tobytes() if len(shingles) <= WHOLE else fine_sketch(shingles).tobytes()
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(id, n_shingles, k1, k2, sig) of each row of docs (id, text); k1 and k2 digest the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sig, fine = [], [], [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py())
-                n.append(len(s))
-                k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                k2.append(int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
-                sig.append(signature(s).tobytes() if len(s) else b"")
-                fine.append(fine_sketch(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())], ["id", "n_shingles", "k1", "k2", "sig", "fine"])
+            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            digests = [digest(s) for s in sets]
+            sig = [signature(s).tobytes() if len(s) else b"" for s in sets]
+            arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "k1", "k2", "sig"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {field}, n_shingles bigint, k1 bigint, k2 bigint, sig binary, fine binary")
+    return docs.select("id", "text").mapInArrow(_common.lean(run, memos=_memos), "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COMPONENTS)
 
 
-def _as_sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 1 << BINS_LOG2)
-
-
 def chunk_keys(sig: np.ndarray, chunk: np.ndarray, left_out: np.ndarray) -> np.ndarray:
     """For each row of signatures the key of its given chunk without the given component."""
     parts = np.take_along_axis(sig.reshape(-1, CHUNKS, PER_CHUNK)[np.arange(len(sig)), chunk], _OTHERS[left_out], 1)
@@ -172,15 +181,13 @@ def index_keys(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                sig = _as_signatures(part.column(1))
-                rows, at = np.repeat(np.arange(len(sig)), CHUNKS * PER_CHUNK), np.tile(np.arange(CHUNKS * PER_CHUNK), len(sig))
-                keys = chunk_keys(sig[rows], at // PER_CHUNK, at % PER_CHUNK).reshape(len(sig), -1)
-                cls = np.repeat(np.asarray(part.column(0)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(cls)], ["key", "cls"])
+            sig = _as_signatures(batch.column(1))
+            rows, at = np.repeat(np.arange(len(sig)), CHUNKS * PER_CHUNK), np.tile(np.arange(CHUNKS * PER_CHUNK), len(sig))
+            keys = chunk_keys(sig[rows], at // PER_CHUNK, at % PER_CHUNK).reshape(len(sig), -1)
+            cls = np.repeat(np.asarray(batch.column(0)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(cls)], ["key", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key bigint, cls bigint")
+    return classes.select("cls", "sig").mapInArrow(_common.lean(run, rows=2048), "key bigint, cls bigint")
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,43 +199,51 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             near = (_as_signatures(batch.column(2)) != _as_signatures(batch.column(3))).sum(1) <= FAR
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_common.lean(run, rows=4096), "a bigint, b bigint")
 
 
-def needed_sets(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, shingles) of the documents in the pairs and of few others, without moving texts.
+def needed_sets(docs: DataFrame, wanted: DataFrame, as_fine: bool = False) -> DataFrame:
+    """(cls, n_shingles, shingles) of the wanted classes, (cls, id, k1, k2, n_shingles), without moving texts.
 
-    A bit map of fixed size says whose set may be needed; where it is full, sets are made that a join then drops."""
-    position = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << FILTER_LOG2))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(position.alias("p"))
-    maps = ids.groupBy(F.expr("bitmap_bucket_number(p)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = np.zeros((1 << FILTER_LOG2) // 8 + 4096, np.uint8)
+    Rows whose id is that of a wanted class make their set, its digest says whose it is. A bit map of bounded size tells most
+    other rows apart before that; where it is full, sets are made that the join then drops. as_fine: fine forms in place of sets."""
+    log2 = min(FILTER_LOG2, max(15, math.ceil(math.log2(8 * max(1, wanted.count())))))
+    position = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << log2))
+    places = wanted.select(position.alias("p"))
+    maps = places.groupBy(F.expr("bitmap_bucket_number(p)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    bits = np.zeros((1 << log2) // 8 + 8192, np.uint8)
     for row in maps.collect():  # 4 kB for each of at most 2^FILTER_LOG2 / 32768 + 1 parts
         a = row["part"] * 4096
         part = np.frombuffer(row["bits"], np.uint8)
         bits[a : a + len(part)] |= part
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    column = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # bucket and bit as Spark numbers them
-    column = column.select("id", "text", F.expr(f"(bitmap_bucket_number(pmod(xxhash64(id), {1 << FILTER_LOG2})) * 32768) + bitmap_bit_position(pmod(xxhash64(id), {1 << FILTER_LOG2}))").alias("bit"))
+    column = docs.select("text", F.expr(f"(bitmap_bucket_number(pmod(xxhash64(id), {1 << log2})) * 32768) + bitmap_bit_position(pmod(xxhash64(id), {1 << log2}))").alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(2))
+            at = np.asarray(batch.column(1))
             hit = np.flatnonzero((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            for a in range(0, len(hit), 256):
-                rows = batch.take(pa.array(hit[a : a + 256]))
-                sets = [shingle_set(t.as_py()).tobytes() for t in rows.column(1)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    return column.where("id is not null").mapInArrow(run, "id bigint, shingles binary")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs whose full sets are similar enough. The larger ids' sets move first, so a hot smaller id's set isn't copied through a shuffle."""
-    sets = _common.materialize(needed_sets(docs, pairs, id_col, text_col), "sets")
-    others = sets.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    centres = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+            found = [s for s in (shingle_set(batch.column(0)[int(i)].as_py()) for i in hit) if len(s)]
+            if found:
+                digests = [digest(s) for s in found]
+                sets = [fine_form(s) if as_fine else s.tobytes() for s in found]
+                arrays = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "n_shingles", "shingles"])
+
+    made = column.mapInArrow(_common.lean(run, memos=_memos), "k1 bigint, k2 bigint, n_shingles bigint, shingles binary")
+    keys = ["k1", "k2", "n_shingles"]
+    return made.dropDuplicates(keys).join(wanted.select("cls", *keys), keys).select("cls", "n_shingles", "shingles")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full sets are similar enough. The larger classes' sets move first, so a hot smaller one's set isn't copied through a shuffle."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted, wanted_path = _common.stored(classes.select("cls", "id", "k1", "k2", "n_shingles").join(ends, "cls", "left_semi"), "wanted")
+    sets = _common.materialize(needed_sets(docs, wanted).select("cls", "shingles"), "sets")
+    _common.discard(docs.sparkSession, wanted_path)
+    others = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
+    centres = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,121 +256,211 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, id_col:
                 linked.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(others, "b").join(centres, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def across_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of buckets' members that lie in different components and whose signatures and sketches are near enough.
-
-    shared: (key, cls, centre, n). The centre was compared with all in round one. A pair that shares several buckets is made
-    in the first of them only; if one of the two is that bucket's centre, round one has compared them."""
-    rows = shared.where("n > 2").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "centre", "n", F.coalesce("component", "cls").alias("component"))
+    return pairs.join(others, "b").join(centres, "a").select("a", "b", "set_a", "set_b").mapInArrow(_common.lean(run), "a bigint, b bigint")
+
+
+class Forest:
+    """Union-find over the components that meet in one block: keeps the links that join two of them."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(y, y)
+            x = y
+        return x
+
+    def joins(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at x and y: a product of 0/1 matrices over shingles that two sets have, in blocks of columns."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    held = np.cumsum(counts > 1) - 1
+    keep = counts[column] > 1
+    row, column = row[keep], held[column[keep]]
+    rows_x, rows_y = np.unique(x), np.unique(y)
+    at_x, at_y = np.searchsorted(rows_x, x), np.searchsorted(rows_y, y)
+    out = np.zeros(len(x), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(held[-1]) + 1, 2048):
+        low, high = np.searchsorted(column, [a, a + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[low:high], column[low:high] - a] = 1
+        out += (part[rows_x] @ part[rows_y].T)[at_x, at_y]
+    return np.rint(out).astype(np.int64)
+
+
+def block_links(key: int, left: np.ndarray, right: np.ndarray, cls: np.ndarray, component: np.ndarray, sig: np.ndarray, size: np.ndarray, fine: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of rows left and right of one bucket that lie in different components: links between them, on full sets, as a
+    spanning forest; and pairs with a set too large for that, whose sketches are near enough, to be confirmed.
+
+    A pair that shares several buckets is taken up in the first of them only. left is right: one block with itself, each pair once."""
+    xs, ys = [], []
+    for a in range(0, len(left), 64):
+        some = left[a : a + 64]
+        one, other = component[some][:, None], component[right][None, :]
+        ok = (one < other if left is right else one != other) & (100 * np.minimum(size[some][:, None], size[right]) >= percent * np.maximum(size[some][:, None], size[right]))
+        x, y = np.nonzero(ok)
+        x, y = some[x], right[y]
+        near = (sig[x] != sig[y]).sum(1) <= FAR
+        x, y = x[near], y[near]
+        shared_key, shares = first_shared_key(sig[x], sig[y])
+        here = shares & (shared_key.astype(np.int64) == key)
+        xs.append(x[here]), ys.append(y[here])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    small = (size[x] <= WHOLE) & (size[y] <= WHOLE)
+    links: list[tuple[int, int]] = []
+    if small.any():
+        u, v = x[small], y[small]
+        if len(u) > 64:
+            members, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+            common = shared_counts([fine[m] for m in members], inverse[: len(u)], inverse[len(u) :])
+        else:
+            common = np.array([len(np.intersect1d(fine[i], fine[j], assume_unique=True)) for i, j in zip(u, v)])
+        linked = 100 * common >= percent * (size[u] + size[v] - common)
+        forest = Forest()
+        for i, j in zip(u[linked].tolist(), v[linked].tolist()):
+            if forest.joins(int(component[i]), int(component[j])):
+                links.append((int(cls[i]), int(cls[j])))
+    u, v = x[~small], y[~small]
+    pairs: list[tuple[int, int]] = []
+    for a in range(0, len(u), 1024):
+        i, j = u[a : a + 1024], v[a : a + 1024]
+        one, other = (np.stack([fine[m] if size[m] > WHOLE else fine_sketch(fine[m]) for m in side]) for side in (i, j))
+        near = may_be_linked(one, other, size[i], size[j], percent)
+        pairs += zip(cls[i[near]].tolist(), cls[j[near]].tolist())
+    return links, pairs
+
+
+def across_components(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, sure) of buckets' members that lie in different components: links of blocks, and pairs yet to be confirmed.
+
+    shared: (key, cls, centre, n). The centre was compared with all in round one. Members of a bucket are dealt to blocks of bounded size by a hash,
+    which meet two by two; decided pairs never leave their block, so what goes out grows with the members."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = shared.where("n > 2 AND cls <> centre").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit("block")), blocks).cast("int"))
     rows = _common.materialize(rows, "labelled")
-    several = rows.where("cls <> centre").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")).where("low <> high")
+    # a row for each block, so that a large bucket is split in the join too
+    several = several.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
+    apart = _common.materialize(rows.join(several, ["key", "own"]), "apart")
+    members = apart.select("cls").distinct()
+    wanted = _common.materialize(classes.join(members, "cls", "left_semi").select("cls", "id", "k1", "k2", "n_shingles", "sig"), "wanted")
+    fine = needed_sets(docs, wanted, as_fine=True).withColumnRenamed("shingles", "fine")
+    known = _common.materialize(wanted.select("cls", "sig").join(fine, "cls"), "fine")
     # blocks i <= j of a bucket meet; a row of block i goes to all pairs of blocks that i is in
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = (
-        rows.where("cls <> centre")
-        .join(several, "key", "left_semi")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .select("key", "cls", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        apart.select("key", "cls", "component", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
-        .join(classes.select("cls", "sig", "fine", "n_shingles"), "cls")
+        .join(known, "cls")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            table = [np.asarray(batch.column(i)) for i in range(6)] + [_as_signatures(batch.column(6)), _as_sketches(batch.column(7)), np.asarray(batch.column(8))]
-            group = np.stack(table[:3], 1)
+            group = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            bounds = [0, *cuts, len(group)]
-            for a, b in zip(bounds, bounds[1:]):
-                part = tuple(c[a:b] for c in table)
-                if held and (held[-1][0][0], held[-1][1][0], held[-1][2][0]) != (part[0][0], part[1][0], part[2][0]):
+            for a, b in zip([0, *cuts], [*cuts, len(group)]):
+                if held and last != tuple(group[a]):
                     yield from met(held)
                     held = []
-                held.append(part)
+                held.append(batch.slice(a, b - a))
+                last = tuple(group[a])
         if held:
             yield from met(held)
 
-    def met(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, i, j, own, cls, component, sig, fine, size = (np.concatenate(c) if len(parts) > 1 else c[0] for c in zip(*parts))
+    def met(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        if table.num_rows < 2:
+            return
+        key, i, j, own, cls, component, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "cls", "component", "n_shingles"))
+        if component.min() == component.max():
+            return
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+        fine = [np.frombuffer(f, np.uint64 if n <= WHOLE else np.uint8) for f, n in zip(table.column("fine").to_pylist(), size)]
         left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for a in range(0, len(left), 64):
-            some = left[a : a + 64]
-            ok = (component[some][:, None] != component[right][None, :]) & (cls[some][:, None] != cls[right][None, :])
-            x, y = np.nonzero(ok)
-            x, y = some[x], right[y]
-            shared_key, shares = first_shared_key(sig[x], sig[y])
-            here = shares & (shared_key.astype(np.int64) == key[0])
-            x, y = x[here], y[here]
-            near = (sig[x] != sig[y]).sum(1) <= FAR
-            x, y = x[near], y[near]
-            near = may_be_linked(fine[x], fine[y], size[x], size[y], percent)
-            out_a.append(np.minimum(cls[x], cls[y])[near])
-            out_b.append(np.maximum(cls[x], cls[y])[near])
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.empty((0, 2), np.int64)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(run, "a bigint, b bigint")
+        right = left if i[0] == j[0] else np.flatnonzero(own == j)
+        links, pairs = block_links(int(key[0]), left, right, cls, component, sig, size, fine, percent)
+        out = links + pairs
+        if out:
+            a, b = np.array(out, np.int64).T
+            sure = np.arange(len(out)) < len(links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
+
+    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(_common.lean(run, rows=4096), "a bigint, b bigint, sure boolean")
 
 
 @dataclass(frozen=True)
 class NearGroups:
-    """documents: (id, n_shingles, cls); links: (a, b) between classes; labels: (node, component) of linked classes."""
+    """documents: (id, n_shingles, cls); classes: (cls, id, k1, k2, n_shingles, sig); links: (a, b) between classes; labels: (node, component) of linked classes."""
 
-    documents: DataFrame
+    marks: DataFrame
+    classes: DataFrame
     links: DataFrame
     labels: DataFrame
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> NearGroups:
-    docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col))
-    marks = _common.materialize(signatures(docs, id_col, text_col), "signatures")
-    sized = marks.where("n_shingles > 0")
-    classes = sized.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("cls"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine"))
-    classes = _common.materialize(classes, "classes")
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    marks = _common.materialize(signatures(docs), "signatures")
+    grouped = marks.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
+    # a class is known by a number of its own, as ids may be missing or stand for several texts; the written table keeps it
+    classes = _common.materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     # sets of one or two shingles are linked with equal sets only
-    indexed = classes.where("n_shingles > 2 AND cls IS NOT NULL").select("cls", "sig", "fine", "n_shingles")
+    indexed = classes.where("n_shingles > 2")
     keys = index_keys(indexed)
     buckets = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = _common.materialize(keys.join(buckets, "key").select("key", "cls", "centre", "n"), "shared")
+    shared, shared_path = _common.stored(keys.join(buckets, "key").select("key", "cls", "centre", "n"), "shared")
     stars = shared.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     first = _common.materialize(near_pairs(stars, indexed), "pairs")
-    links = _common.materialize(confirmed(docs, first, percent, id_col, text_col), "links")
+    links = _common.materialize(confirmed(docs, first, indexed, percent), "links")
     labels = components(links)
-    second = across_components(shared, labels, indexed, percent).join(first, ["a", "b"], "left_anti")
-    second = _common.materialize(second, "pairs")
-    if not second.isEmpty():
-        more = _common.materialize(confirmed(docs, second, percent, id_col, text_col), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-    keyed = marks.select("id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "n_shingles", "cls"), ["k1", "k2", "n_shingles"], "left")
-    return NearGroups(keyed.select("id", "n_shingles", F.coalesce("cls", "id").alias("cls")), links, labels)
+    second = _common.materialize(across_components(docs, shared, labels, indexed, percent), "second")
+    _common.discard(spark, shared_path)
+    more = second.where("sure").select("a", "b").distinct()
+    unsure = second.where("NOT sure").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    unsure = _common.materialize(unsure, "pairs")
+    if not unsure.isEmpty():
+        more = more.unionByName(confirmed(docs, unsure, indexed, percent))
+    more = _common.materialize(more, "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+    return NearGroups(marks, classes, links, labels)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row."""
     found = near_groups(docs, percent, id_col, text_col)
-    joined = found.documents.join(found.labels, F.col("cls") == F.col("node"), "left")
-    component = F.coalesce("component", "cls")
+    classes = found.classes.select("cls", "id", "k1", "k2", "n_shingles")
+    linked = found.labels.join(classes.select("cls", "id"), F.col("node") == F.col("cls")).select("node", "component", "id")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    named = classes.join(linked, F.col("cls") == F.col("node"), "left").select("k1", "k2", "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    joined = found.marks.select("id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, as they are, of documents that represent their component. Rows that share an id stay if one of them represents; rows without id stay."""
     verdict = near_duplicates(docs, percent, id_col, text_col)
-    dropped = verdict.groupBy(id_col).agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col(id_col).alias("__id__"))
-    return docs.join(dropped, F.col(id_col) == F.col("__id__"), "left_anti")
+    gone = _common.free_name(docs, "__id__")
+    dropped = verdict.groupBy(id_col).agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col(id_col).alias(gone))
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,67 @@ def test_sketches_lose_no_link(spark):
     assert near_dedup.may_be_linked(np.array(one), np.array(other), np.array(a), np.array(b), 75).all()
 
 
+def copies_at_the_threshold(n, words=400, replaced=7, seed=11):
+    """Copies of one text, which is absent, with words replaced: most pairs lie just below a link, some above."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), replaced):
+            copy[at] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def pairs_made(spark, texts):
+    """Rows that leave the blocks of round two, and the result."""
+    made = []
+    inner = near_dedup.across_components
+
+    def counted(*args):
+        out = inner(*args).persist()
+        made.append(out.count())
+        return out
+
+    near_dedup.across_components = counted
+    try:
+        return near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect(), made[0]
+    finally:
+        near_dedup.across_components = inner
+
+
+def test_large_group_near_the_threshold(spark):
+    """Exact components, and rows between the rounds that grow with the group, not with its square."""
+    made = {}
+    for n in (200, 800):
+        texts = copies_at_the_threshold(n)
+        rows, made[n] = pairs_made(spark, texts)
+        if n == 200:
+            assert [tuple(r) for r in rows] == brute_components(texts)
+    assert all(made[n] <= 4 * n for n in made)  # all pairs are 19,900 and 319,600
+
+
+def test_large_sets_near_the_threshold(spark):
+    """Sets that go into blocks as sketches."""
+    texts = copies_at_the_threshold(40, words=1200, replaced=22) + copies_at_the_threshold(20, words=520, replaced=9, seed=5)
+    assert any(len(near_dedup.shingle_set(t)) > near_dedup.WHOLE for t in texts)
+    rows = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == brute_components(texts)
+
+
+def test_repeated_and_missing_ids(spark):
+    """An id may stand for several texts, or be missing; links of each text count."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (1, near(b)), (2, near(a)), (None, c), (None, near(c)), (3, "alone"), (None, None), (3, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__id__", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == sorted([("5", 56, "2", False), ("5", 56, "1", False), ("1", 57, "1", True), ("2", 57, "2", True), ("None", 56, "None", True), ("None", 57, "None", True), ("3", 1, "3", True), ("None", 0, "None", True), ("3", 1, "3", True)])
+    kept = near_dedup.keep_representatives(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "3", "None", "None", "None"]
+
+
 @pytest.mark.parametrize("bits", [64, 2])
 def test_exact_groups_equal_brute_force(spark, bits):
     rng = random.Random(5)
@@ -82,8 +143,32 @@ def test_exact_groups_equal_brute_force(spark, bits):
     assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows] == [(i, norm.index(t), norm.count(t), norm.index(t) == i) for i, t in enumerate(norm)]
 
 
+def test_chunks_follow_content_in_any_script(spark):
+    """After an insertion at the front most chunks are the same again."""
+    rng = random.Random(9)
+    scripts = {"latin": ("abcdefghijklmnopqrst", " "), "cyrillic": ("абвгдежзийклмнопрст", " "), "han": ("的一是不了人我在有他这中大来上国" * 4 + "。", "")}
+    rows = []
+    for name, (letters, space) in scripts.items():
+        text = space.join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(4000))
+        rows += [(name, text), (name, letters[0] + text)]
+    cut = exact_dedup.chunked(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    for name in scripts:
+        one, other = (set(r.chunks) for r in cut if r.id == name)
+        assert len(one) > 20 and len(one & other) >= len(one) - 2, name
+    assert all("".join(r.chunks) in (t for _, t in rows) for r in cut)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(2, "a  b", "p"), (1, "a b", "q"), (1, "a b", "r"), (3, None, "s"), (None, "x", "t"), (7, "x", "u"), (4, "", "v"), (1, "c", "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __row__ string").withColumn("id", F.lit(0)).withColumn("H", F.lit(1))
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert got == [("1", "a b"), ("1", "c"), ("3", "None"), ("7", "x")]
+
+
 def test_empty_and_extra_columns(spark):
-    empty = table(spark, []) if False else table(spark, ["a"]).where("doc_id < 0")
+    empty = table(spark, ["a"]).where("doc_id < 0")
     assert near_dedup.near_duplicates(empty).count() == 0
     assert exact_dedup.exact_groups(empty).count() == 0
     docs = table(spark, ["a b", "a  b", None])
