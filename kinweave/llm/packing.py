@@ -3,13 +3,13 @@
 1. Texts are tokenized and cut into pieces of at most ``window`` ids (one pass, table of
    small rows: piece, start, length, checksum).
 2. The histogram of lengths, at most ``window`` numbers however large the input, is all that
-   the plan depends on. From the longest length down, the gap it leaves is looked up among
-   single lengths, then sums of pairs, then of triples; a combination that fills it exactly is
-   consumed as often as its lengths' availability counts allow. What remains is packed
-   best-fit, longest first, again by counts.
+   the plan depends on. Lengths and sums of pairs are indexed by their sum, sums of triples through the pairs'.
+   From the longest length down, the gap it leaves is looked up among singles, then pairs, then triples;
+   a combination that fills it exactly is consumed as often as its lengths' availability counts allow. What
+   remains is packed best-fit decreasing, again by counts. Of the ways to spend combinations the one with the fewest sequences is taken.
 3. A plan row says: pieces of length L with ranks [first, first + times) are the k-th
    part of ``times`` sequences of one pattern. Ranks within a length come from counts per
-   (length, salt) and a row number within each, so that no length gathers in one task.
+   (length, salt) and a row number within each; a length has as many salts as it has rows, so none gathers in one task.
 
 Defined results: null and empty texts have the end id alone, a piece of length 1; repeated
 rows are packed each; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +17,7 @@ rows are packed each; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from kinweave.llm import _common, subwords
 WINDOW = 1024
 END_ID = 2
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Parts that each length's ranks are counted in.
-SALTS = 64
+#: About how many pieces of one length are ranked in one go.
+ROWS = 50_000
 
 
 def pieces(docs: DataFrame, path: str, ranks_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,59 +56,99 @@ def pieces(docs: DataFrame, path: str, ranks_path: str, window: int = WINDOW, id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names)
 
     schema = f"id {field}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(_common.lean(run, memos=subwords.memos), schema).withColumnRenamed("id", id_col)
+
+
+class Sums:
+    """Lengths that are left and the sums of one, two and three of them; a combination is found by its sum, the gap to fill."""
+
+    def __init__(self, left: dict[int, int], even: bool):
+        """even: of several pairs that have a sum, the most even one comes first, else the one with the longest part."""
+        self.left, self.lengths = left, sorted(left, reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, a in enumerate(self.lengths):
+            for b in self.lengths[i:]:
+                self.pairs[a + b].append((a, b))
+        if not even:
+            for found in self.pairs.values():
+                found.reverse()
+
+    def enough(self, parts: tuple[int, ...], beside: tuple[int, ...]) -> bool:
+        held = parts + beside
+        return all(self.left[x] >= held.count(x) for x in parts)
+
+    def single(self, total: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if total in self.left and self.enough((total,), beside) else None
+
+    def pair(self, total: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
+        found = self.pairs.get(total, [])
+        while found and not self.enough(found[-1], ()):
+            found.pop()  # counts only fall, so it will not be available again
+        return next((p for p in reversed(found) if self.enough(p, beside)), None)
+
+    def triple(self, total: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
+        for a in self.lengths:
+            if a < total and self.enough((a,), beside) and (rest := self.pair(total - a, (a, *beside))):
+                return (a, *rest)
+        return None
+
+
+def best_fit(left: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing by counts: each length, longest first, goes where the least room is left that holds it."""
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if room not in bins:
+            bins[room] = []
+            bisect.insort(rooms, room)
+        bins[room].append((pattern, times))
+
+    for x in sorted(left, reverse=True):
+        count = left[x]
+        while count:
+            at = bisect.bisect_left(rooms, x)
+            if at == len(rooms):
+                room, pattern, times = window, (), count
+            else:
+                room = rooms[at]
+                pattern, times = bins[room].pop()
+                if not bins[room]:
+                    del bins[room], rooms[at]
+            each = min(room // x, count)  # a bin that took one is the tightest for the next
+            n = min(times, count // each)
+            if pattern and times > n:
+                put(room, pattern, times - n)
+            put(room - each * x, pattern + (x,) * each, n)
+            count -= n * each
+    return [p for found in bins.values() for p in found]
+
+
+def filled(histogram: dict[int, int], window: int, parts: int, even: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, how often): gaps are filled exactly by up to ``parts`` lengths, singles before pairs before triples; the rest best-fit."""
+    sums = Sums({x: n for x, n in histogram.items() if n > 0}, even)
+    left, out = sums.left, []
+    for find in (sums.single, sums.pair, sums.triple)[:parts]:
+        for size in sums.lengths:
+            while left[size]:
+                more = find(window - size, (size,)) if size < window else ()
+                if more is None:
+                    break
+                pattern = (size, *more)
+                times = min(left[x] // pattern.count(x) for x in pattern)
+                out.append((pattern, times))
+                for x in pattern:
+                    left[x] -= times
+    return out + best_fit({x: n for x, n in left.items() if n}, window)
 
 
 def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, how often) that use up the histogram; at most window² work, for any counts."""
-    left = {length: n for length, n in histogram.items() if n > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(pattern: tuple[int, ...]) -> bool:
-        need: dict[int, int] = defaultdict(int)
-        for x in pattern:
-            need[x] += 1
-        times = min(left.get(x, 0) // k for x, k in need.items())
-        if times:
-            out.append((pattern, times))
-            for x, k in need.items():
-                left[x] -= times * k
-                if not left[x]:
-                    del left[x]
-        return times > 0
-
-    for size in sorted(left, reverse=True):
-        if size not in left:
-            continue
-        gap = window - size
-        if not gap:
-            take((size,))
-            continue
-        take((size, gap))
-        for a in range(gap - 1, (gap - 1) // 2, -1):  # pairs, the longer part first
-            if size not in left:
-                break
-            if a in left and gap - a in left:
-                take((size, a, gap - a))
-        for a in range(gap - 2, (gap - 1) // 3, -1):  # triples
-            if size not in left or a not in left:
-                continue
-            rest = gap - a
-            for b in range(min(a, rest - 1), (rest - 1) // 2, -1):
-                if b in left and rest - b in left:
-                    take((size, a, b, rest - b))
-                    if size not in left or a not in left:
-                        break
-
-    while left:  # best fit of what is left: the longest, then always the longest that still fits
-        pattern, room, used = [], window, defaultdict(int)
-        for x in sorted(left, reverse=True):
-            while x <= room and used[x] < left[x]:
-                pattern.append(x)
-                used[x] += 1
-                room -= x
-        take(tuple(pattern))
-    return out
+    """Patterns (lengths, how often) that use up the histogram, in as few sequences as any order of filling gives.
+
+    Work is bounded by the number of lengths, at most ``window``, for any counts. Which combinations to spend on gaps is a choice: small
+    pieces spent early are missed later, so the ways, from singles alone to triples, are all planned and the best is taken."""
+    ways = [filled(histogram, window, parts, even) for parts in (1, 2, 3) for even in (True, False)]
+    return min(ways, key=lambda w: sum(times for _, times in w))
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -125,23 +166,28 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def pack(parts: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset. parts: a table (not a plan), as it is read twice."""
+    """Adds sequence_id and offset. parts: a table (not a plan), as it is read several times."""
     spark = parts.sparkSession
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most window * SALTS rows
-    histogram: dict[int, int] = defaultdict(int)
-    first = []
-    for length, salt, n in sorted(counts):
-        first.append((length, salt, histogram[length]))
-        histogram[length] += n
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     rows = slots(plan(histogram, window))
-    firsts = spark.createDataFrame(first, "length bigint, salt int, before bigint")
-    places = spark.createDataFrame(rows, "length bigint, first bigint, times bigint, first_sequence bigint, offset bigint")
+    salts = spark.createDataFrame([(x, -(-n // ROWS)) for x, n in histogram.items()], "length bigint, salts bigint")
+    salted = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("salts")).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     in_salt = F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "start", "ids_crc32"))
-    ranked = salted.withColumn("in_salt", in_salt).join(F.broadcast(firsts), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("in_salt") - 1)
-    here = (F.col("r.length") == F.col("p.length")) & (F.col("r.rank") >= F.col("p.first")) & (F.col("r.rank") < F.col("p.first") + F.col("p.times"))
-    placed = ranked.alias("r").join(F.broadcast(places).alias("p"), here)
-    return placed.select(*(F.col(f"r.{c}") for c in parts.columns), (F.col("p.first_sequence") + F.col("r.rank") - F.col("p.first")).alias("sequence_id"), F.col("p.offset").alias("offset"))
+    ranked = salted.withColumn("in_salt", in_salt).join(counts.select("length", "salt", before.alias("before")), ["length", "salt"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("in_salt") - 1)
+    # a length's slots, in the order of their first ranks, in one row of a table of at most window rows
+    places = spark.createDataFrame(rows, "length bigint, first bigint, times bigint, first_sequence bigint, offset bigint")
+    places = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "first_sequence", "offset"))).alias("slots"))
+    placed = ranked.join(F.broadcast(places), "length")
+    # binary search for the last slot that starts at the rank or before it
+    search = f"""aggregate(sequence(1, {max(1, len(rows)).bit_length()}), named_struct('low', 0, 'high', size(slots)),
+        (a, i) -> if(a.high - a.low <= 1, a, if(slots[cast((a.low + a.high) / 2 AS int)].first <= rank,
+            named_struct('low', cast((a.low + a.high) / 2 AS int), 'high', a.high), named_struct('low', a.low, 'high', cast((a.low + a.high) / 2 AS int)))),
+        a -> slots[a.low])"""
+    placed = placed.withColumn("place", F.expr(search))
+    return placed.select(*parts.columns, (F.col("place.first_sequence") + F.col("rank") - F.col("place.first")).alias("sequence_id"), F.col("place.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
