@@ -102,16 +102,21 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = rows.groupBy("key").agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("copies"))
     keys = _common.materialize(keys, "keys")
     links = _common.materialize(following(keys.select("key", "n_chars")), "links")
-    marked = rows.withColumn("marks", signature("text"))
-    heads = links.select(F.col("key").alias("owner"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")).join(marked, "key")
-    heads = heads.select(F.col("owner").alias("key"), F.expr("substring(text, 1, half)").alias("head"), F.col("marks").alias("next_marks"))
+    # each text's signature is made once; from then on it moves alone
+    marks = _common.materialize(rows.select("key", signature("text").alias("marks")), "marks")
     if not keys.where("copies > 1").isEmpty():
-        heads = heads.dropDuplicates(["key"])
-    both = marked.join(heads, "key").withColumn("n", F.length("text"))
+        marks = marks.dropDuplicates(["key"])
+        texts = rows.dropDuplicates(["key"])
+    else:
+        texts = rows
+    heads = links.select(F.col("key").alias("owner"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")).join(texts, "key")
+    heads = heads.select(F.col("owner").alias("key"), F.col("key").alias("next_key"), F.expr("substring(text, 1, half)").alias("head"))
+    both = rows.join(heads, "key").withColumn("n", F.length("text"))
     edited = both.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(floor(n / 2) AS int)), head)"))
-    done = edited.select(F.col("key.id").alias(id_col), F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", signature("edited").alias("edited_marks"))
+    done = edited.select("key", "next_key", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), signature("edited").alias("edited_marks"))
+    done = done.join(marks, "key").join(marks.select(F.col("key").alias("next_key"), F.col("marks").alias("next_marks")), "next_key")
     return done.select(
-        id_col, "n_chars", "edited_sha256", shown("marks").alias("fingerprint"), shown("edited_marks").alias("edited_fingerprint"),
+        F.col("key.id").alias(id_col), "n_chars", "edited_sha256", shown("marks").alias("fingerprint"), shown("edited_marks").alias("edited_fingerprint"),
         likeness("marks", "edited_marks").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"),
     )
 
