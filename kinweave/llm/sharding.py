@@ -54,8 +54,8 @@ def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int = N_SHAR
     share = f"total / {n_shards}D"
     folded = entries.selectExpr(
         "version",
-        f"filter(slots, s -> s.upto <= {share}) AS kept",
-        f"filter(slots, s -> s.upto > {share}) AS over",
+        f"filter(slots, s -> s.bytes = 0 OR s.upto <= {share}) AS kept",
+        f"filter(slots, s -> s.bytes > 0 AND s.upto > {share}) AS over",
     ).selectExpr(
         "version",
         "kept",
@@ -84,18 +84,27 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == version).select("version", "virtual_slot", "shard")
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of each row."""
+def edit_map(spark: SparkSession, path: str, slot_bytes: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
+    """The map stored at path with one more version, edited from its latest for these bytes; a path without a map starts at version 1."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        store_map(first_map(spark, n_shards, n_slots), path)
+    latest = _common.materialize(load_map(spark, path).coalesce(1), "map")
+    store_map(rebalance(latest, slot_bytes, n_shards).coalesce(1), path)
+    return load_map(spark, path)
+
+
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+    """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of each row.
+
+    map_path: the stored map to edit, so that rows move only where sizes ask for it; without one a new map is stored."""
     spark = docs.sparkSession
     rows = sized_rows(docs, n_slots, id_col, text_col)
     per_slot = _common.materialize(rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).coalesce(1), "slots")
-    v1 = first_map(spark, n_shards, n_slots)
-    path = f"{_common.scratch_dir(spark)}/kinweave/slot-map-{_common.uuid.uuid4().hex}"
-    store_map(v1.unionByName(rebalance(v1, per_slot.select("virtual_slot", "bytes"), n_shards)), path)
+    slot_map = edit_map(spark, map_path or _common.scratch_path(spark, "slot-map"), per_slot.select("virtual_slot", "bytes"), n_shards, n_slots)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     places = (
-        load_map(spark, path)
-        .join(F.broadcast(per_slot), "virtual_slot")
+        slot_map.join(F.broadcast(per_slot), "virtual_slot")
         .select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
     )  # at most n_slots rows
     in_slot = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size"))
