@@ -32,9 +32,13 @@ BUCKETS_LOG2 = 16
 ORDERS = (1, 2, 3)
 #: Bound of the training sample for each language, in documents.
 PER_LANGUAGE = 3000
+#: Bound of the number of languages learned, those of most labelled documents; the matrix has 256 kB for each.
+LANGUAGES = 400
 SMOOTHING = 0.1
 #: N-grams' worth of evidence that a posterior rests on at most.
 SHARPNESS = 60.0
+#: A text with a larger share of n-grams that training never saw (and what chance and a small sample add) is of another language.
+UNSEEN = 0.12
 #: N-grams that are scored at once.
 BLOCK = 1 << 18
 UNDETERMINED = "und"
@@ -60,12 +64,14 @@ def ngrams(text: str) -> np.ndarray:
 class Model:
     languages: list[str]
     log_prior: np.ndarray
-    log_prob: np.ndarray  # buckets x languages
+    log_prob: np.ndarray  # buckets x (languages + 1); the last column marks n-grams that training never saw
+    missing: float = 0.0  # the share of such n-grams that texts of the learned languages are expected to have (Good-Turing)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score, and whether the text is of none of the learned languages."""
+        names, scores, strange = [], [], []
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
-        sums, counts = np.zeros((len(texts), len(self.languages) or 1)), np.zeros(len(texts))
+        sums, counts = np.zeros((len(texts), len(self.languages) + 1)), np.zeros(len(texts))
         pending: list[np.ndarray] = []
         rows: list[int] = []
         held = 0
@@ -94,22 +100,24 @@ class Model:
             if i not in with_text:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
+                strange.append(False)
                 continue
-            evidence = self.log_prior + sums[i] * min(1.0, SHARPNESS / counts[i])
+            evidence = self.log_prior + sums[i, :-1] * min(1.0, SHARPNESS / counts[i])
+            strange.append(bool(sums[i, -1] / counts[i] > UNSEEN + 3 * self.missing + 1 / np.sqrt(counts[i])))
             best = int(np.argmax(evidence))
             names.append(self.languages[best])
             scores.append(float(1 / np.exp(evidence - evidence[best]).sum()))
-        return names, scores
+        return names, scores, strange
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> DataFrame:
     """(lang, text) of a bounded part of the labelled documents that are not held out."""
     usable = ~_common.held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    labelled = docs.where(usable)
-    counts = labelled.groupBy(lang_col).agg(F.count("*").alias("n"))
+    labelled = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), _common.sample_order(id_col).alias("order"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    chosen = labelled.join(F.broadcast(counts.select(lang_col, share.alias("share"))), lang_col)  # a row for each language
-    return chosen.where(_common.sample_order(id_col) < F.col("share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")  # at most LANGUAGES rows
+    return chosen.where(F.col("order") < F.col("share")).select("lang", "text")
 
 
 def train(sample: DataFrame) -> Model:
@@ -127,7 +135,7 @@ def train(sample: DataFrame) -> Model:
             buckets = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(buckets) + 1)), pa.array(np.append(buckets, -1)), pa.array(np.append(total[buckets], docs[lang]))], ["lang", "bucket", "n"])
 
-    counted = sample.coalesce(8).mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(_common.lean(count), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toPandas()  # at most BUCKETS + 1 rows for each language
     languages = sorted(table["lang"].unique())
     docs = np.zeros(len(languages))
@@ -139,7 +147,9 @@ def train(sample: DataFrame) -> Model:
         docs[j] = mine["n"][~rows].sum()
     smooth = counts + SMOOTHING
     log_prob = np.log(smooth / smooth.sum(axis=0)) if languages else counts
-    return Model(languages, np.log(docs / docs.sum()) if languages else docs, log_prob.astype(np.float32))
+    total = counts.sum(axis=1)
+    log_prob = np.concatenate([log_prob, (total == 0)[:, None]], axis=1)
+    return Model(languages, np.log(docs / docs.sum()) if languages else docs, log_prob.astype(np.float32), float((total == 1).sum() / max(1, total.sum())))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -151,26 +161,27 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = sent.value.score(batch.column(0).to_pylist())
+            names, scores, _ = sent.value.score(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema).toDF(*columns, "lang_pred", "score")
+    return source.mapInArrow(_common.lean(run), schema).toDF(*columns, "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows, as they are, whose language is told with at least this score. Without any language known: those with letters."""
+    """The rows, as they are, whose language is told with at least this score and whose n-grams training has seen but for a few, so that
+    other scripts, other languages and gibberish go. Without any language known: those with letters."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if sent.value.languages:
-                keep = [name != UNDETERMINED and score >= least_score for name, score in zip(*sent.value.score(texts))]
+                keep = [name != UNDETERMINED and score >= least_score and not strange for name, score, strange in zip(*sent.value.score(texts))]
             else:
                 keep = [bool(t and LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_common.lean(run), docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
