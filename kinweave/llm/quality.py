@@ -6,7 +6,7 @@ character pairs are among good and bad training documents). A gated attention la
 weighs the passages; the weighted mean representation is scored by a linear layer. Only document labels are
 learned from: attention finds which passages decide.
 
-Training takes a bounded sample (``PER_LABEL`` documents for each label, not held out, whole texts) to
+Training takes a bounded sample (about ``PER_LABEL`` documents for each label, not held out, whole texts of at most ``MOST_CHARS`` characters) to
 the driver, with fixed seeds and full-batch Adam, so results are repeatable. Each longer text is also learned from by a
 short clip of it, as few labelled documents are short. The model, some kB, is broadcast; scoring is a narrow map over whole texts.
 
@@ -30,6 +30,8 @@ from kinweave.llm import _common
 PASSAGE_WORDS = 60
 #: Bound of the training sample for each label, in documents.
 PER_LABEL = 1500
+#: Longer texts aren't learned from, as the sample is on the driver; they are scored whole like all others.
+MOST_CHARS = 40_000
 PAIRS_LOG2 = 12
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 16, 8, 300, 0.03, 1e-3
 #: A document of this score or more is predicted good, in the query and in the pipeline alike.
@@ -186,7 +188,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
     return Model(log_odds, mean, scale, w)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str | None, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = MOST_CHARS) -> list[tuple[str | None, int]]:
     """(text, quality) of at most about per_label documents for each label that are not held out."""
     usable = labels.where(~_common.held_out("doc_id") & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -194,8 +196,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
     chosen = usable.where(_common.sample_order("doc_id") < share[F.col("quality")])
-    # the chosen are about 2 * per_label rows, so they may be broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # the chosen are about 2 * per_label labels, so they may be broadcast; texts on the driver are bounded in number, however often an id repeats, and in length
+    picked = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(chosen.distinct()), "doc_id")
+    picked = picked.orderBy(_common.sample_order("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(3 * per_label)
     return [(r["text"], r["quality"]) for r in picked.select("text", "quality").collect()]
 
 
@@ -213,7 +216,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 scores.extend(sent.value.score(batch.column(0).slice(a, 64).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])
 
-    return source.mapInArrow(run, schema).toDF(*columns, "score")
+    return source.mapInArrow(_common.lean(run), schema).toDF(*columns, "score")
 
 
 def keep_good(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
@@ -226,7 +229,7 @@ def keep_good(docs: DataFrame, model: Model, least_score: float, text_col: str =
                 part = batch.slice(a, 64)
                 yield part.filter(pa.array(sent.value.score(part.column(at).to_pylist()) >= least_score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_common.lean(run), docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

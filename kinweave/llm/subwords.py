@@ -7,7 +7,7 @@ regular expression engines and Unicode versions differ there. Texts with the nam
 special token go to the library too, which takes it as one id.
 
 Long pre-tokens (text that no pattern splits) are encoded by *tree concatenation*:
-halves are encoded on their own, all leaves in one parallel call, and each join is
+halves are encoded on their own, the leaves by parallel threads, and each join is
 repaired by encoding a window around it again, growing until its first id equals the left
 half's id there and its last id the right half's. Byte-pair encodings are exact exactly if
 each adjacent pair of ids is the encoding of its own text, so agreement on both
@@ -21,6 +21,7 @@ import json
 import os
 import re
 from array import array
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, lru_cache
 
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -32,6 +33,14 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 EMPTY = b""
 
 
+#: Each encoder's memory of pre-tokens in this process.
+MEMOS: list[dict] = []
+
+
+def memos() -> list[dict]:
+    return MEMOS
+
+
 def pack_ids(ids) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     out = array("I", ids)
@@ -47,6 +56,8 @@ def unpack_ids(data: bytes) -> list[int]:
 class TreeBpe:
     """Exact byte-pair encoding of one long pre-token by halves and re-encoded joins."""
 
+    threads = 2
+
     def __init__(self, encode_open, encode_closed, lengths, leaf: int = 512):
         """encode_open/encode_closed: lists of symbol strings to lists of ids, without and with the
         word end on the last symbol; lengths: id to its number of symbols."""
@@ -60,7 +71,12 @@ class TreeBpe:
         parts = 1 << max(1, (n - 1) // self.leaf).bit_length()
         cuts += [n * i // parts for i in range(1, parts)] + [n]
         spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-        ids = self.encode_open([symbols[a:b] for a, b in spans[:-1]]) + self.encode_closed([symbols[spans[-1][0] :]])
+        leaves = [symbols[a:b] for a, b in spans[:-1]]
+        # the library leaves the interpreter free while it encodes, so threads run side by side
+        share = -(-len(leaves) // self.threads)
+        with ThreadPoolExecutor(self.threads) as pool:
+            opened = pool.map(self.encode_open, [leaves[i : i + share] for i in range(0, len(leaves), share)])
+            ids = [x for part in opened for x in part] + self.encode_closed([symbols[spans[-1][0] :]])
         level = [(a, b, x) for (a, b), x in zip(spans, ids)]
         while len(level) > 1:
             joined = [self.join(symbols, level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
@@ -86,7 +102,7 @@ class TreeBpe:
 class Subwords:
     """Common part: bounded memory of pre-tokens, and the library for what is unusual."""
 
-    memo_limit = 400_000
+    memo_limit = 150_000
     long_piece = 1024
 
     def __init__(self, path: str):
@@ -96,9 +112,9 @@ class Subwords:
         self.path, self.library = path, Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.spec = json.load(open(path, encoding="utf-8"))
-        self.specials = [t["content"] for t in self.spec["added_tokens"]]
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        MEMOS.append(self.memo)
 
     def plain(self, text: str) -> bool:
         return not UNUSUAL.search(text) and not any(s in text for s in self.specials)
@@ -131,7 +147,8 @@ class WordBpe(Subwords):
     def tree(self) -> TreeBpe:
         from tokenizers import Tokenizer
 
-        spec = json.loads(json.dumps(self.spec))
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
         spec["normalizer"] = spec["pre_tokenizer"] = None
         spec["added_tokens"] = []
         closed = Tokenizer.from_str(json.dumps(spec))
