@@ -33,6 +33,8 @@ END_ID = 2
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: About how many pieces of one length are ranked in one go.
 ROWS = 50_000
+#: Parts that the ranks of a length are looked up in.
+BLOCKS = 64
 
 
 def pieces(docs: DataFrame, path: str, ranks_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,25 +171,20 @@ def pack(parts: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> Data
     """Adds sequence_id and offset. parts: a table (not a plan), as it is read several times."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
-    rows = slots(plan(histogram, window))
-    salts = spark.createDataFrame([(x, -(-n // ROWS)) for x, n in histogram.items()], "length bigint, salts bigint")
+    # ranks of a length are cut in BLOCKS, so that a row meets few slots; at most window * BLOCKS rows beside one for each slot
+    width = {x: -(-n // BLOCKS) for x, n in histogram.items()}
+    rows = [(x, block, *slot) for x, *slot in slots(plan(histogram, window)) for block in range(slot[0] // width[x], (slot[0] + slot[1] - 1) // width[x] + 1)]
+    salts = spark.createDataFrame([(x, -(-n // ROWS), width[x]) for x, n in histogram.items()], "length bigint, salts bigint, width bigint")
     salted = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("salts")).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     in_salt = F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "start", "ids_crc32"))
     ranked = salted.withColumn("in_salt", in_salt).join(counts.select("length", "salt", before.alias("before")), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("in_salt") - 1)
-    # a length's slots, in the order of their first ranks, in one row of a table of at most window rows
-    places = spark.createDataFrame(rows, "length bigint, first bigint, times bigint, first_sequence bigint, offset bigint")
-    places = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "first_sequence", "offset"))).alias("slots"))
-    placed = ranked.join(F.broadcast(places), "length")
-    # binary search for the last slot that starts at the rank or before it
-    search = f"""aggregate(sequence(1, {max(1, len(rows)).bit_length()}), named_struct('low', 0, 'high', size(slots)),
-        (a, i) -> if(a.high - a.low <= 1, a, if(slots[cast((a.low + a.high) / 2 AS int)].first <= rank,
-            named_struct('low', cast((a.low + a.high) / 2 AS int), 'high', a.high), named_struct('low', a.low, 'high', cast((a.low + a.high) / 2 AS int)))),
-        a -> slots[a.low])"""
-    placed = placed.withColumn("place", F.expr(search))
-    return placed.select(*parts.columns, (F.col("place.first_sequence") + F.col("rank") - F.col("place.first")).alias("sequence_id"), F.col("place.offset").alias("offset"))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("in_salt") - 1).withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    places = spark.createDataFrame(rows, "length bigint, block bigint, first bigint, times bigint, first_sequence bigint, offset bigint")
+    here = (F.col("r.length") == F.col("p.length")) & (F.col("r.block") == F.col("p.block")) & (F.col("r.rank") >= F.col("p.first")) & (F.col("r.rank") < F.col("p.first") + F.col("p.times"))
+    placed = ranked.alias("r").join(F.broadcast(places).alias("p"), here)
+    return placed.select(*(F.col(f"r.{c}") for c in parts.columns), (F.col("p.first_sequence") + F.col("r.rank") - F.col("p.first")).alias("sequence_id"), F.col("p.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
