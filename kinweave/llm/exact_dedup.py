@@ -26,8 +26,11 @@ from kinweave.llm import _common
 #: Matches each run of white space that isn't one plain space already.
 RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 #: A chunk ends after a letter b to d that starts a word after one that ends in d to t, in other scripts after a mark that ends a sentence or after the first of some
-#: characters frequent there, or at most after 4096 characters. The shorter look-behind is implied by the longer one and fails sooner.
-CHUNK = r"(?s)(?:.{1,4096}?(?:(?<=\x20[b-d])(?<=[d-t][.,]?\x20[b-d])|(?<=[\u3002\uff01\uff1f\u061f\u0964\u4e0d\u4e86\u306e\u306f\uac00])|(?<=\x20[\u0432\u043d\u03c4\u05d4\u0648])|\z))|.{1,4096}"
+#: characters frequent there, or at most after 4096 characters. Shorter look-behinds are implied by the longer ones and fail sooner.
+CHUNK = (
+    r"(?s)(?:.{1,4096}?(?:(?<=[b-d])(?<=\x20[b-d])(?<=[d-t][.,]?\x20[b-d])"
+    r"|(?<=[^\x00-\x7f])(?:(?<=[。！？؟।不了のは가])|(?<=\x20[внτהو]))|\z))|.{1,4096}"
+)
 
 
 def normalised(text: str | Column) -> Column:
