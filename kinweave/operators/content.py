@@ -29,5 +29,6 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
 
 def likely_non_english(text: Column) -> Column:
     """True for at least four letters of which more than 30 % are outside A-Z; null counts as no text."""
-    letters, latin = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit("[A-Za-z]"))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    latin = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
     return F.coalesce((letters >= LEAST_LETTERS) & ((letters - latin) > FOREIGN_SHARE * letters), F.lit(False))

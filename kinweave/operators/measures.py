@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions import ranked as ranked_sums
 from kinweave.operators.ties import symmetrised
 
 
@@ -33,26 +34,30 @@ def summary(ties: DataFrame) -> DataFrame:
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """One row: Gini coefficient. Ranks come from a running count over distinct values, which are far fewer than rows."""
+    """One row: Gini coefficient. Ranks come from running counts of distinct values, in ranges."""
     counts = values.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("ranks", F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2)
+    ranked = ranked_sums.running(counts, F.col("x"), "k").withColumn("ranks", F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2)
     return ranked.agg((2 * F.sum(F.col("ranks") * F.col("x")) / (F.sum("k") * F.sum(F.col("x") * F.col("k"))) - (F.sum("k") + 1) / F.sum("k")).alias("gini"))
 
 
-def clustering(ties: DataFrame) -> DataFrame:
-    """(node, degree, triangles, clustering), unweighted and symmetrised; below two contacts clustering is 0.
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(a, b, c) of each triangle once, of pairs (u, v) entered both ways.
 
     Each pair points from its lower end by (degree, id), so that no node has more than about sqrt(2m) outgoing
     pairs and hubs don't make quadratic joins."""
-    pairs = symmetrised(ties)
     degree = pairs.groupBy("u").agg(F.count("*").alias("d"))
     ranked = pairs.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")), "v")
     up = ranked.where(F.struct("d", "u") < F.struct(F.col("e").alias("d"), F.col("v").alias("u"))).select("u", "v", "e")
     one, other = up.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("e").alias("eb")), up.select(F.col("u").alias("a"), F.col("v").alias("c"), F.col("e").alias("ec"))
     wedges = one.join(other, "a").where(F.struct(F.col("eb").alias("d"), F.col("b").alias("i")) < F.struct(F.col("ec").alias("d"), F.col("c").alias("i")))
-    closed = wedges.join(up.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
-    per_node = closed.select(F.explode(F.array("a", "b", "c")).alias("u")).groupBy("u").agg(F.count("*").alias("triangles"))
+    return wedges.join(up.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"]).select("a", "b", "c")
+
+
+def clustering(ties: DataFrame) -> DataFrame:
+    """(node, degree, triangles, clustering), unweighted and symmetrised; below two contacts clustering is 0."""
+    pairs = symmetrised(ties)
+    degree = pairs.groupBy("u").agg(F.count("*").alias("d"))
+    per_node = triangles(pairs).select(F.explode(F.array("a", "b", "c")).alias("u")).groupBy("u").agg(F.count("*").alias("triangles"))
     n, t = F.col("d"), F.coalesce("triangles", F.lit(0))
     return degree.join(per_node, "u", "left").select(F.col("u").alias("node"), n.alias("degree"), t.alias("triangles"), F.when(n > 1, 2.0 * t / (n * (n - 1))).otherwise(0.0).alias("clustering"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import permutations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.measures import mixing
+from kinweave.functions import ranked as ranked_sums
+from kinweave.operators.measures import mixing, triangles
 from kinweave.operators.ties import symmetrised
 
 
@@ -63,11 +66,16 @@ def brokerage(ties: DataFrame) -> DataFrame:
     mutual = both.groupBy("src", "dst").agg(F.sum("w").alias("m"))
     per = mutual.groupBy("src").agg(F.sum("m").alias("total"), F.max("m").alias("most"))
     p = mutual.join(per, "src").select("src", "dst", (F.col("m") / F.col("total")).alias("p"), (F.col("m") / F.col("most")).alias("share"))
-    first = p.select(F.col("src").alias("v"), F.col("dst").alias("q"), F.col("p").alias("p_vq"))
-    second = p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p_qj"))
     contact = p.select(F.col("src").alias("v"), F.col("dst").alias("j"), F.col("p").alias("p_vj"))
-    back = p.select(F.col("src").alias("j"), F.col("dst").alias("q"), F.col("share").alias("share_jq"))
-    closed = first.join(second, "q").where("v <> j").join(contact.select("v", "j"), ["v", "j"]).join(back, ["j", "q"])
+    pairs = mutual.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    found = triangles(pairs)
+    # each triangle closes six two-step paths v-q-j; the weights of its ends are joined on, wedges that nothing closes are never made
+    turns = ", ".join(f"struct({x} AS v, {y} AS q, {z} AS j)" for x, y, z in permutations("abc"))
+    steps = found.select(F.explode(F.expr(f"array({turns})")).alias("s")).select("s.*")
+    vq = p.select(F.col("src").alias("v"), F.col("dst").alias("q"), F.col("p").alias("p_vq"))
+    qj = p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p_qj"))
+    jq = p.select(F.col("src").alias("j"), F.col("dst").alias("q"), F.col("share").alias("share_jq"))
+    closed = steps.join(vq, ["v", "q"]).join(qj, ["q", "j"]).join(jq, ["q", "j"])
     indirect = closed.groupBy("v", "j").agg(F.sum(F.col("p_vq") * F.col("p_qj")).alias("via"), F.sum(F.col("p_vq") * F.col("share_jq")).alias("redundant"))
     via, redundant = F.coalesce("via", F.lit(0.0)), F.coalesce("redundant", F.lit(0.0))
     met = contact.join(indirect, ["v", "j"], "left")
@@ -78,15 +86,19 @@ def ranks(values: DataFrame, column: str) -> DataFrame:
     """(node, value, rank, tied): competition ranks, largest first, null values left out. Ranks come from counts of distinct values."""
     held = values.where(F.col(column).isNotNull()).select("node", F.col(column).alias("value"))
     counts = held.groupBy("value").agg(F.count("*").alias("tied"))
-    before = F.coalesce(F.sum("tied").over(Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.join(counts.withColumn("rank", before + 1), "value")
+    return held.join(ranked_sums.running(counts, -F.col("value"), "tied").select("value", "tied", (F.col("before") + 1).alias("rank")), "value")
 
 
 def quantiles(values: DataFrame, column: str, at: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:
     """(q, value): quantiles by linear interpolation, nulls left out; null values for an empty table."""
-    points = F.array(*[F.lit(q) for q in at])
-    got = values.agg(F.percentile(F.col(column), points).alias("v"))
-    return got.select(F.posexplode_outer("v").alias("i", "value")).select(F.element_at(points, F.col("i") + 1).alias("q"), "value")
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("k"))
+    total = counts.agg(F.sum("k").alias("n"))
+    points = total.select(F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("q"), ((F.col("n") - 1) * F.col("q")).alias("h"))
+    # the values of the two ranks about each point: those whose run of ranks holds them
+    met = ranked_sums.running(counts, F.col("x"), "k").join(F.broadcast(points), (F.col("before") <= F.ceil("h")) & (F.col("before") + F.col("k") > F.floor("h")))
+    low, high = F.min("x"), F.max("x")
+    found = met.groupBy("q", "h").agg((low + (high - low) * (F.col("h") - F.floor("h"))).alias("value"))
+    return points.join(found.select("q", "value"), "q", "left").select("q", "value")
 
 
 def two_mode_summary(affiliations: DataFrame) -> DataFrame:
