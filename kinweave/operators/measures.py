@@ -84,14 +84,3 @@ def top_nodes(values: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The k largest; equal values by node."""
     return values.where(F.col(column).isNotNull()).orderBy(F.desc(column), "node").limit(k)
 
-
-def turnover(evidence: DataFrame, window: str = "week") -> DataFrame:
-    """(win, ties, formed, persisted, dissolved, jaccard) of calendar windows against the window before; evidence: (src, dst, t).
-
-    Formed and dissolved compare with the previous calendar window; for the first window, dissolved is 0 and jaccard null."""
-    held = evidence.where("t IS NOT NULL").select(F.date_trunc(window, F.col("t")).cast("date").alias("win"), "src", "dst").distinct()
-    step = F.make_interval(weeks=F.lit(1)) if window == "week" else F.make_interval(days=F.lit(1))
-    after = held.select((F.col("win") + step).cast("date").alias("win"), "src", "dst", F.lit(1).alias("was"))
-    both = held.withColumn("is", F.lit(1)).join(after, ["win", "src", "dst"], "full").groupBy("win").agg(F.count("is").alias("ties"), F.sum((F.col("is").isNotNull() & F.col("was").isNotNull()).cast("bigint")).alias("persisted"), F.count("was").alias("had"))
-    seen = both.where("ties > 0")
-    return seen.select("win", "ties", (F.col("ties") - F.col("persisted")).alias("formed"), "persisted", (F.col("had") - F.col("persisted")).alias("dissolved"), F.when(F.col("had") > 0, F.col("persisted") / (F.col("ties") + F.col("had") - F.col("persisted"))).alias("jaccard"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import content, measures, series, structure, ties
+from kinweave.plans import networks
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -93,7 +94,7 @@ def queries() -> dict:
         "group_mixing": lambda s, d: measures.mixing(nation_ties(s, d), _regions(s, d)),
         "ei_index": lambda s, d: measures.ei_index(nation_ties(s, d), _regions(s, d)),
         "top_strength": lambda s, d: measures.top_nodes(measures.degrees(turn_ties(s, d)).select("node", "strength"), "strength"),
-        "tie_turnover": lambda s, d: measures.turnover(turn_evidence(s, d)),
+        "tie_turnover": lambda s, d: networks.weekly(s, d).turnover,
         "degree_centralization": lambda s, d: structure.centralization(turn_ties(s, d)),
         "degree_assortativity": lambda s, d: structure.degree_assortativity(turn_ties(s, d)),
         "group_ties": lambda s, d: structure.group_ties(nation_ties(s, d), _regions(s, d)),
@@ -113,7 +114,7 @@ def queries() -> dict:
         "keywords": lambda s, d: content.keywords(_read(s, d, "documents", F.col("source").alias("unit"), "text")),
         "foreign_texts": foreign_texts,
     }
-    return {name: (lambda s, d, f=f: _rounded(f(s, d))) for name, f in plans.items()}
+    return {name: (lambda s, d, f=f: _rounded(f(s, d))) for name, f in plans.items()} | networks.queries()
 
 
 _EVIDENCE = """o AS (SELECT ts, user_id AS src, lag(user_id) OVER w AS dst, lag(ts) OVER w AS before FROM events
@@ -155,11 +156,9 @@ def oracle_sql() -> dict[str, str]:
         "group_mixing": f"WITH {_MIXING} SELECT * FROM m",
         "ei_index": f"WITH {_MIXING} SELECT round(sum(CASE WHEN from_group = to_group THEN -ties ELSE ties END) / sum(ties)::DOUBLE, 6) AS ei, round(sum(CASE WHEN from_group = to_group THEN -weight ELSE weight END) / sum(weight), 6) AS ei_weighted FROM m",
         "top_strength": f"{_TURNS}, {_ENDS} SELECT node, strength FROM g ORDER BY strength DESC, node LIMIT 10",
-        "tie_turnover": f"""WITH {_EVIDENCE}, h AS (SELECT DISTINCT date_trunc('week', ts)::DATE AS win, src, dst FROM e),
-            j AS (SELECT win, count(*) AS ties FROM h GROUP BY 1), q AS (SELECT a.win, count(*) AS persisted FROM h a JOIN h b ON b.win = a.win - 7 AND a.src = b.src AND a.dst = b.dst GROUP BY 1)
-            SELECT j.win, j.ties, j.ties - coalesce(persisted, 0) AS formed, coalesce(persisted, 0) AS persisted, coalesce(l.ties, 0) - coalesce(persisted, 0) AS dissolved,
-              CASE WHEN l.ties > 0 THEN round(coalesce(persisted, 0) / (j.ties + l.ties - coalesce(persisted, 0))::DOUBLE, 6) END AS jaccard
-            FROM j LEFT JOIN j l ON l.win = j.win - 7 LEFT JOIN q ON q.win = j.win""",
+        "tie_turnover": f"""WITH {networks._W}, j AS (SELECT sp.win, count(t.win) AS ties FROM sp LEFT JOIN t ON t.win = sp.win GROUP BY 1), q AS (SELECT a.win, count(*) AS persisted FROM t a JOIN t b ON b.win = a.win - 1 AND a.src = b.src AND a.dst = b.dst GROUP BY 1),
+            r AS (SELECT j.win, j.ties, coalesce(persisted, 0) AS persisted, coalesce(l.ties, 0) AS had FROM j LEFT JOIN j l ON l.win = j.win - 1 LEFT JOIN q ON q.win = j.win)
+            SELECT win, ties, ties - persisted AS formed, had - persisted AS dissolved, persisted, CASE WHEN win > 0 AND ties + had > persisted THEN round(persisted / (ties + had - persisted)::DOUBLE, 6) END AS jaccard FROM r""",
         "degree_centralization": f"{_TURNS}, {_TRIANGLES} SELECT round((max(d) * count(*) - sum(d)) / ((count(*) - 1) * (count(*) - 2))::DOUBLE, 6) AS centralization FROM c",
         "degree_assortativity": f"""{_TURNS}, o1 AS (SELECT src, count(*) AS x FROM t GROUP BY 1), i1 AS (SELECT dst, count(*) AS y FROM t GROUP BY 1)
             SELECT round(corr(x, y), 6) AS assortativity FROM t JOIN o1 ON t.src = o1.src JOIN i1 ON t.dst = i1.dst""",
@@ -202,4 +201,4 @@ def oracle_sql() -> dict[str, str]:
             SELECT unit, term, n, round(score, 6) AS score, place FROM k WHERE place <= 30""",
         "foreign_texts": r"""WITH l AS (SELECT source, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS a FROM documents)
             SELECT source, count(*) AS texts, sum(coalesce(n >= 4 AND n - a > 0.3::DOUBLE * n, false)::INT)::BIGINT AS foreign_texts FROM l GROUP BY 1""",
-    }
+    } | networks.oracle_sql()
