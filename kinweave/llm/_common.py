@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave import storage
+from kinweave.storage import discard, materialize, stored
+
+__all__ = ["SPACE", "discard", "documents", "free_name", "held_out", "mapped", "materialize", "release", "sample_order", "scratch_path", "stored"]
+
 #: White space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -21,54 +25,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only one machine's session may go without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="kinweave-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{scratch_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again.
-
-    Unlike a local checkpoint the table outlives any executor; unlike checkpoint() it is
-    columnar and compressed, and its true size is known to the planner.
-    """
-    return stored(df, label, *partition_by)[0]
-
-
-def stored(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]:
-    """As materialize, with the table's path, for discard()."""
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return f"{storage.scratch_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables in the shared folder that no later plan reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Rows that Spark hands to a Python worker at once; its default of 10,000 whole texts is tens of MB in the JVM and again in Python.
+ARROW_ROWS, _ARROW_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 256, memos: Callable[[], list] = list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over Arrow batches that leaves a reused worker as small as it was.
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = 256, memos: Callable[[], list] = list) -> DataFrame:
+    """df.mapInArrow(run, schema) that leaves a reused worker as small as it was.
 
-    Batches come in parts of few rows, so copies of their texts are small; after a partition the memos (of
-    pre-tokens, words) are emptied and freed memory goes back to the system."""
+    Batches come in parts of few rows, so copies of their texts are small; after a partition the memos (of pre-tokens, words) are emptied
+    and freed memory goes back to the system. Larger batches than ARROW_ROWS are turned down in the session, as plans take the setting from there."""
+    session = df.sparkSession
+    if int(session.conf.get(_ARROW_SETTING)) > ARROW_ROWS:
+        session.conf.set(_ARROW_SETTING, str(ARROW_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -78,7 +51,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
                 memo.clear()
             release()
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

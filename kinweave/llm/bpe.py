@@ -32,7 +32,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [subwords.unpack_ids(coder.encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(_common.lean(run), f"id {field}, ids array<int>").withColumnRenamed("id", id_col)
+    return _common.mapped(docs.select(id_col, text_col), run, f"id {field}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -64,7 +64,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"id {field}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(_common.lean(run), schema).withColumnRenamed("id", id_col)
+    return _common.mapped(docs.select(id_col, text_col), run, schema).withColumnRenamed("id", id_col)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

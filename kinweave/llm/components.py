@@ -2,31 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from kinweave.operators.components import linked as components
 
-from kinweave.llm import _common
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each linked node reaches.
-
-    Each round takes the smallest label among neighbours and then that label's own label, so
-    labels jump in doubling steps. Hot nodes are no matter: labels of neighbours are pre-aggregated, and
-    the join on the far end can be split. Each round is a table in the shared folder, that before it is deleted.
-    """
-    spark = links.sparkSession
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
-    edges, edges_path = _common.stored(both.where("u <> v"), "edges")
-    labels, path = _common.stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
-    while True:
-        near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("least"))
-        lower = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        jump = labels.select(F.col("node").alias("target"), F.col("label").alias("further"))
-        jumped = lower.join(jump, F.col("label") == F.col("target"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        before = path
-        labels, path = _common.stored(jumped.select("node", "label", (F.col("old") != F.col("label")).alias("moved")), "labels")
-        _common.discard(spark, before)
-        if labels.where("moved").isEmpty():
-            _common.discard(spark, edges_path)
-            return labels.select("node", F.col("label").alias("component"))
+__all__ = ["components"]

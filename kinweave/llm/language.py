@@ -135,7 +135,7 @@ def train(sample: DataFrame) -> Model:
             buckets = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(buckets) + 1)), pa.array(np.append(buckets, -1)), pa.array(np.append(total[buckets], docs[lang]))], ["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(_common.lean(count), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = _common.mapped(sample, count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toPandas()  # at most BUCKETS + 1 rows for each language
     languages = sorted(table["lang"].unique())
     docs = np.zeros(len(languages))
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, scores, _ = sent.value.score(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    return source.mapInArrow(_common.lean(run), schema).toDF(*columns, "lang_pred", "score")
+    return _common.mapped(source, run, schema).toDF(*columns, "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
@@ -181,7 +181,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col:
                 keep = [bool(t and LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(_common.lean(run), docs.schema)
+    return _common.mapped(docs, run, docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

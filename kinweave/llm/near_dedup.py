@@ -153,7 +153,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "k1", "k2", "sig"])
 
-    return docs.select("id", "text").mapInArrow(_common.lean(run, memos=_memos), "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
+    return _common.mapped(docs.select("id", "text"), run, "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary", memos=_memos)
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
@@ -187,7 +187,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
             cls = np.repeat(np.asarray(batch.column(0)), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(cls)], ["key", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(_common.lean(run, rows=2048), "key bigint, cls bigint")
+    return _common.mapped(classes.select("cls", "sig"), run, "key bigint, cls bigint", rows=2048)
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             near = (_as_signatures(batch.column(2)) != _as_signatures(batch.column(3))).sum(1) <= FAR
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_common.lean(run, rows=4096), "a bigint, b bigint")
+    return _common.mapped(pairs.join(one, "a").join(other, "b").select("a", "b", "sig_a", "sig_b"), run, "a bigint, b bigint", rows=4096)
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame, as_fine: bool = False) -> DataFrame:
@@ -231,7 +231,7 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, as_fine: bool = False) -> Da
                 arrays = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "n_shingles", "shingles"])
 
-    made = column.mapInArrow(_common.lean(run, memos=_memos), "k1 bigint, k2 bigint, n_shingles bigint, shingles binary")
+    made = _common.mapped(column, run, "k1 bigint, k2 bigint, n_shingles bigint, shingles binary", memos=_memos)
     keys = ["k1", "k2", "n_shingles"]
     return made.dropDuplicates(keys).join(wanted.select("cls", *keys), keys).select("cls", "n_shingles", "shingles")
 
@@ -256,7 +256,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
                 linked.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(others, "b").join(centres, "a").select("a", "b", "set_a", "set_b").mapInArrow(_common.lean(run), "a bigint, b bigint")
+    return _common.mapped(pairs.join(others, "b").join(centres, "a").select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint")
 
 
 class Forest:
@@ -399,7 +399,7 @@ def across_components(docs: DataFrame, shared: DataFrame, labels: DataFrame, cla
             sure = np.arange(len(out)) < len(links)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
 
-    return dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles").mapInArrow(_common.lean(run, rows=4096), "a bigint, b bigint, sure boolean")
+    return _common.mapped(dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles"), run, "a bigint, b bigint, sure boolean", rows=4096)
 
 
 @dataclass(frozen=True)

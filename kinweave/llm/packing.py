@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, ranks_path: str, window: int = WINDOW, id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names)
 
     schema = f"id {field}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select(id_col, text_col).mapInArrow(_common.lean(run, memos=subwords.memos), schema).withColumnRenamed("id", id_col)
+    return _common.mapped(docs.select(id_col, text_col), run, schema, memos=subwords.memos).withColumnRenamed("id", id_col)
 
 
 class Sums:

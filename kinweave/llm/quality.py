@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 scores.extend(sent.value.score(batch.column(0).slice(a, 64).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])
 
-    return source.mapInArrow(_common.lean(run), schema).toDF(*columns, "score")
+    return _common.mapped(source, run, schema).toDF(*columns, "score")
 
 
 def keep_good(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame, model: Model, least_score: float, text_col: str =
                 part = batch.slice(a, 64)
                 yield part.filter(pa.array(sent.value.score(part.column(at).to_pylist()) >= least_score))
 
-    return docs.mapInArrow(_common.lean(run), docs.schema)
+    return _common.mapped(docs, run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

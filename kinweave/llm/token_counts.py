@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = [count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(_common.lean(run), f"id {field}, n_tokens bigint").withColumnRenamed("id", id_col)
+    return _common.mapped(docs.select(id_col, text_col), run, f"id {field}, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
