@@ -221,3 +221,11 @@ def test_long_unsplit_text_equals_library(spark):
     for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éßñ", "日本語中文"):
         text = "".join(rng.choices(letters, k=20_000))
         assert subwords.unpack_ids(ours.encode(text)) == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_edges_of_token_counts(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "a b"), (2, "a b"), (3, "x" * 30_000)], "doc_id bigint, text string").withColumn("id", F.lit(1))
+    path = subwords.tokenizer_path(token_counts.VOCABULARY)
+    rows = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(docs, path).collect())
+    assert rows[:2] == [("1", 0), ("1", 0)] and rows[2] == rows[3] and rows[5][1] == rows[2][1] and rows[4][1] > 0
+    assert token_counts.count_tokens(docs.where("false"), path).count() == 0
