@@ -171,3 +171,49 @@ def shown_part(ties: DataFrame, strengths: DataFrame, most_nodes: int, most_ties
 def first_by(table: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order."""
     return table.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+#: Attributes that keep books on people rather than group them, prefixes of flags, and names that say what group someone belongs to, best first.
+BOOKKEEPING = "responded response completed finished consent deleted deactivated admin owner bot is_bot isbot verified invited invitation kind ego tz tz_offset time_zone timezone".split()
+FLAGS = ("is", "has", "was")
+GROUP_NAMES = [r"^(dept|department)s?$", r"^(team|squad)s?$", r"^(groups?|drawn_?group)$", r"^(division|unit|org_?unit|section|function|cohort|class|homeroom)$", r"(^|[_\s-])(dept|department)([_\s-]|$)", r"(^|[_\s-])(team|group|division|unit)([_\s-]|$)"]
+
+
+def groupable(key: str, kind: str) -> bool:
+    """Whether an attribute of this name and type may group people: categories and ranks, no flags, no bookkeeping."""
+    import re
+
+    flag = re.match(r"^(?:%s)(?:[_\s-]|(?=[A-Z]))" % "|".join(FLAGS), key) is not None
+    return kind in ("categorical", "ordinal") and not flag and key.lower() not in BOOKKEEPING
+
+
+def default_grouping(schema: DataFrame, least: int = 3, most: int = 15, coverage: float = 0.5) -> str | None:
+    """The attribute to group by: 3 to 15 values, known for half the people, named like a department, team or group; None if there is none. schema as model.attribute_schema has it."""
+    import re
+
+    rows = [r for r in schema.collect() if groupable(r["key"], r["type"]) and least <= r["distinct"] <= most and r["coverage"] >= coverage]  # a row for each attribute
+    ranked = [(next((i for i, p in enumerate(GROUP_NAMES) if re.search(p, r["key"], re.I)), None), -r["coverage"], r["key"]) for r in rows]
+    named = sorted(x for x in ranked if x[0] is not None)
+    return named[0][2] if named else None
+
+
+def resolved(nodes: DataFrame, reference: str) -> DataFrame:
+    """(node_id, key, label) that a reference may mean: the node of that key, else those whose key or label equals it in any case, else those that contain it; at most ten."""
+    text = reference.strip().lower()
+    key, label = F.lower("key"), F.lower(F.coalesce("label", F.lit("")))
+    rank = F.when(F.col("key") == reference.strip(), 0).when((key == text) | (label == text), 1).when(key.contains(text) | label.contains(text), 2)
+    found = nodes.withColumn("rank", rank).where(F.col("rank").isNotNull() & F.lit(text != ""))
+    best = found.agg(F.min("rank").alias("best"))
+    return found.join(F.broadcast(best)).where("rank = best").orderBy("key").limit(10).select("node_id", "key", "label")
+
+
+def activity_bins(events: DataFrame, bins: int = 60) -> DataFrame:
+    """(bin, start, events) of equal spans from the first to the last dated event, empty ones included; no rows without a span."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', t)")
+    dated = events.where("t IS NOT NULL").select(micros.alias("at"))
+    ends = dated.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("hi > lo")
+    step = (F.col("hi") - F.col("lo")) / bins
+    counts = dated.join(F.broadcast(ends)).groupBy(F.least(F.floor((F.col("at") - F.col("lo")) / step), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("events"))
+    spine = ends.select("lo", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    start = F.expr("timestampadd(MICROSECOND, cast(lo + bin * step AS bigint), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return spine.join(counts, "bin", "left").select("bin", start.alias("start"), F.coalesce("events", F.lit(0)).alias("events"))

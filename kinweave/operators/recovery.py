@@ -66,3 +66,13 @@ def reading(score: float | None) -> str:
 def partition_recovery(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row (nmi, ari) of found communities against true groups (node, community)."""
     return communities.agreement(found, truth)
+
+
+def node_mapping(truth: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(person, node, how): people of a truth (person, key, label) met by key, then by a label that one of each side has."""
+    by_key = truth.join(nodes.select(F.col("node_id").alias("node"), "key"), "key").select("person", "node", F.lit("key").alias("how"))
+    single = lambda t, c: t.join(t.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(c), c)
+    rest = truth.join(by_key.select("person"), "person", "left_anti").select("person", F.lower(F.trim("label")).alias("name"))
+    free = nodes.join(by_key.select(F.col("node").alias("node_id")), "node_id", "left_anti").select(F.col("node_id").alias("node"), F.lower(F.trim("label")).alias("name"))
+    by_label = single(rest, "name").join(single(free, "name"), "name").select("person", "node", F.lit("label").alias("how"))
+    return by_key.unionByName(by_label)

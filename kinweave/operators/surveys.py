@@ -225,3 +225,16 @@ def stitched(interviews: DataFrame, roster: DataFrame) -> DataFrame:
     alters = interviews.withColumn("plain", F.array_join(words.name_tokens(F.col("name")), " "))
     own = F.concat_ws("/", F.col("ego").cast("string"), F.col("alter").cast("string"))
     return alters.join(single.select("plain", "person"), "plain", "left").select("ego", "alter", F.coalesce(F.col("person").cast("string"), own).alias("person"), F.col("person").isNotNull().alias("matched"))
+
+
+def reference_ties(events: DataFrame, nodes: DataFrame, people: DataFrame) -> DataFrame:
+    """(frm, to) among people of a roster (person, label) that a dataset's events hold, its nodes met by normalised name where one person has it."""
+    from kinweave.functions import text as words
+
+    plain = lambda c: F.array_join(words.name_tokens(F.col(c)), " ")
+    roster = people.select("person", plain("label").alias("name")).where("name <> ''")
+    roster = roster.join(roster.groupBy("name").agg(F.count("*").alias("n")).where("n = 1").select("name"), "name")
+    met = nodes.select(F.col("node_id").alias("node"), plain("label").alias("name")).join(roster, "name").select("node", "person")
+    pairs = events.select(F.col("actor").alias("a"), F.explode("targets.node").alias("b")).distinct()
+    ends = pairs.join(met.select(F.col("node").alias("a"), F.col("person").alias("frm")), "a").join(met.select(F.col("node").alias("b"), F.col("person").alias("to")), "b")
+    return ends.where("frm <> to").select("frm", "to").distinct()
