@@ -33,7 +33,7 @@ ORDERS = (1, 2, 3)
 #: Bound of the training sample for each language, in documents.
 PER_LANGUAGE = 3000
 #: Bound of the number of languages learned, those of most labelled documents; the matrix has 256 kB for each.
-LANGUAGES = 400
+LANGUAGES = 128
 SMOOTHING = 0.1
 #: N-grams' worth of evidence that a posterior rests on at most.
 SHARPNESS = 60.0
