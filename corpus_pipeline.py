@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Every stage
 works on all rows that its predecessor kept, defines nulls, empty and repeated rows as its operator does,
-and passes empty tables on.
+and passes empty tables on. Texts that are null, have no letter or are of no learned language go at the first stage; of texts that are
+equal or linked as near copies the row with the smallest id stays; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Classifiers are trained, which SQL can't express; the tests hold the quality stage only.
+#: Classifiers are trained, which SQL can't express; tests/llm/test_pipeline.py holds each stage and run() to a brute-force version.
 ORACLE_SQL = None
 
 
