@@ -11,8 +11,8 @@ At the least similarity a link needs, 0.75, each chunk agrees with probability 0
 pair is missed by all twelve with probability 6e-6; candidates are all confirmed on full sets.
 
 Large groups never become all pairs. Round one compares each bucket's members with one centre only,
-and links found make components. Round two takes up buckets that still hold several components: their members are dealt to
-blocks of bounded size, which meet two by two, and members of different components are decided there, by their signatures and then on full sets.
+and links found make components. Round two takes up buckets that still hold several components: each goes to one task, in
+blocks of bounded size, which meet two by two there, and members of different components are decided there, by their signatures and then on full sets.
 Only links that join components go out of a block, at most one for each member. Sets of more than WHOLE shingles go in
 as sketches; of these, pairs near enough are confirmed afterwards. What both rounds leave out is of one component already.
 
@@ -24,6 +24,8 @@ linked like others and a component of null ids alone has none; an empty table gi
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +45,8 @@ ERRORS = 1
 PERCENT = 75
 #: Signatures further apart aren't confirmed: a linked pair lies beyond with probability under 1e-7.
 FAR = 35
-#: Members of one block in round two.
-BLOCK = 512
+#: Members of one block in round two, and bytes of a bucket's fine forms that a task holds.
+BLOCK, HELD = 512, 32 << 20
 #: Most bits, as a power of two, of the filter that says whose sets are needed (16 MB).
 FILTER_LOG2 = 27
 MEMO_LIMIT = 100_000
@@ -298,7 +300,7 @@ def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return np.rint(out).astype(np.int64)
 
 
-def block_links(key: int, left: np.ndarray, right: np.ndarray, cls: np.ndarray, component: np.ndarray, sig: np.ndarray, size: np.ndarray, fine: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def block_links(key: int, left: np.ndarray, right: np.ndarray, cls: np.ndarray, component: np.ndarray, sig: np.ndarray, size: np.ndarray, fine: list[np.ndarray] | Bucket, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Of rows left and right of one bucket that lie in different components: links between them, on full sets, as a
     spanning forest; and pairs with a set too large for that, whose sketches are near enough, to be confirmed.
 
@@ -343,63 +345,78 @@ def block_links(key: int, left: np.ndarray, right: np.ndarray, cls: np.ndarray,
 def across_components(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, sure) of buckets' members that lie in different components: links of blocks, and pairs yet to be confirmed.
 
-    shared: (key, cls, centre, n). The centre was compared with all in round one. Members of a bucket are dealt to blocks of bounded size by a hash,
-    which meet two by two; decided pairs never leave their block, so what goes out grows with the members."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = shared.where("n > 2 AND cls <> centre").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit("block")), blocks).cast("int"))
+    shared: (key, cls, centre, n). The centre was compared with all in round one. A bucket's members go to one task, once; there they make blocks of
+    bounded size, which meet two by two, so what is sent and what goes out both grow with the members."""
+    rows = shared.where("n > 2 AND cls <> centre").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     rows = _common.materialize(rows, "labelled")
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")).where("low <> high")
-    # a row for each block, so that a large bucket is split in the join too
-    several = several.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"))
-    apart = _common.materialize(rows.join(several, ["key", "own"]), "apart")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    apart = _common.materialize(rows.join(several, "key"), "apart")
     members = apart.select("cls").distinct()
     wanted = _common.materialize(classes.join(members, "cls", "left_semi").select("cls", "id", "k1", "k2", "n_shingles", "sig"), "wanted")
     fine = needed_sets(docs, wanted, as_fine=True).withColumnRenamed("shingles", "fine")
     known = _common.materialize(wanted.select("cls", "sig").join(fine, "cls"), "fine")
-    # blocks i <= j of a bucket meet; a row of block i goes to all pairs of blocks that i is in
-    dealt = (
-        apart.select("key", "cls", "component", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component")
-        .join(known, "cls")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
+    dealt = apart.join(known, "cls").repartition("key").sortWithinPartitions("key", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        bucket: Bucket | None = None
         for batch in batches:
-            group = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
-            cuts = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(group)]):
-                if held and last != tuple(group[a]):
-                    yield from met(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(group[a])
-        if held:
-            yield from met(held)
-
-    def met(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
-        if table.num_rows < 2:
-            return
-        key, i, j, own, cls, component, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "cls", "component", "n_shingles"))
-        if component.min() == component.max():
-            return
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-        fine = [np.frombuffer(f, np.uint64 if n <= WHOLE else np.uint8) for f, n in zip(table.column("fine").to_pylist(), size)]
-        left = np.flatnonzero(own == i)
-        right = left if i[0] == j[0] else np.flatnonzero(own == j)
-        links, pairs = block_links(int(key[0]), left, right, cls, component, sig, size, fine, percent)
-        out = links + pairs
-        if out:
-            a, b = np.array(out, np.int64).T
-            sure = np.arange(len(out)) < len(links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
-
-    return _common.mapped(dealt.select("key", "i", "j", "own", "cls", "component", "sig", "fine", "n_shingles"), run, "a bigint, b bigint, sure boolean", rows=4096)
+            key = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)]):
+                if bucket is not None and bucket.key != key[a]:
+                    yield from bucket.met(percent)
+                    bucket = None
+                bucket = bucket or Bucket(int(key[a]))
+                bucket.add(batch.slice(a, b - a))
+        if bucket is not None:
+            yield from bucket.met(percent)
+
+    return _common.mapped(dealt.select("key", "cls", "component", "n_shingles", "sig", "fine"), run, "a bigint, b bigint, sure boolean", rows=4096)
+
+
+class Bucket:
+    """Members of one bucket in ascending order of component; their fine forms beyond HELD bytes lie in a file of the task."""
+
+    def __init__(self, key: int):
+        self.key, self.parts, self.fine, self.bytes, self.file = key, [], [], 0, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append([*(np.array(batch.column(i)) for i in (1, 2, 3)), _as_signatures(batch.column(4))])
+        for data in batch.column(5).to_pylist():
+            if self.bytes + len(data) <= HELD:
+                self.fine.append(data)
+                self.bytes += len(data)
+            else:
+                self.file = self.file or tempfile.TemporaryFile(buffering=0)
+                self.fine.append((self.file.tell(), len(data)))
+                self.file.write(data)
+
+    def __getitem__(self, m: int) -> np.ndarray:
+        data = self.fine[m]
+        data = data if isinstance(data, bytes) else os.pread(self.file.fileno(), data[1], data[0])
+        return np.frombuffer(data, np.uint64 if self.size[m] <= WHOLE else np.uint8)
+
+    def met(self, percent: int) -> Iterator[pa.RecordBatch]:
+        """(a, b, sure) of all blocks with all; links join components for the blocks that follow."""
+        cls, component, self.size, sig = (np.concatenate(c) for c in zip(*self.parts))
+        blocks = np.split(np.arange(len(cls)), range(BLOCK, len(cls), BLOCK))
+        at, forest = dict(zip(cls.tolist(), range(len(cls)))), Forest()
+        for i, left in enumerate(blocks):
+            for right in blocks[i:]:
+                least, most = min(component[left].min(), component[right].min()), max(component[left].max(), component[right].max())
+                if least == most:
+                    continue
+                links, pairs = block_links(self.key, left, right, cls, component, sig, self.size, self, percent)
+                links = [(a, b) for a, b in links if forest.joins(int(component[at[a]]), int(component[at[b]]))]
+                if links:
+                    known, back = np.unique(component, return_inverse=True)
+                    component = np.array([forest.find(int(c)) for c in known])[back]
+                out = links + pairs
+                if out:
+                    a, b = np.array(out, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(out)) < len(links))], ["a", "b", "sure"])
+        if self.file:
+            self.file.close()
 
 
 @dataclass(frozen=True)

@@ -175,3 +175,22 @@ def test_empty_and_extra_columns(spark):
     assert exact_dedup.keep_first(docs).columns == docs.columns
     assert {r.doc_id for r in exact_dedup.keep_first(docs).collect()} == {0, 2}
     assert near_dedup.keep_representatives(docs).where(F.col("kept") == "x").count() == 2
+
+
+def test_members_of_a_bucket_move_once(spark, monkeypatch):
+    """Rows that are dealt to round two grow with a group, however many blocks it makes; blocks and bytes in a file give the same components."""
+    dealt = {}
+    inner = near_dedup._common.mapped
+
+    def counted(df, run, schema, *args, **kwargs):
+        if "sure" in str(schema):
+            dealt[len(dealt)] = (df.count(), df.select("key", "cls").distinct().count())
+        return inner(df, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HELD", 20_000)
+    monkeypatch.setattr(near_dedup._common, "mapped", counted)
+    texts = copies_at_the_threshold(120)
+    rows = near_dedup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == brute_components(texts)
+    assert dealt[0][0] == dealt[0][1] > 120
